@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from minutario.functions.text import TERM_STOP_WORDS
-from minutario.schemas import RELATION_LABELS, TYING_RELATIONS
+from minutario.schemas import RELATION_LABELS, STATUS_LABELS, TYING_RELATIONS
 
 _STOP = ", ".join(f"'{w}'" for w in TERM_STOP_WORDS)
 _LABELS = ", ".join(f"'{w}'" for w in RELATION_LABELS)
@@ -82,4 +82,49 @@ reach(x, y) as (select x, x from links union select r.x, l.y from reach r join l
 select x as decision_id, min(y) as group_id from reach group by x
 """
 
-ORACLE_SQL = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND}
+P4_FOUND = f"""
+with held as ({_held("chunks", "chunk_id", ["text"])})
+select chunk_id, case when list_max(list_transform(regexp_extract_all(text, '[^ \\t\\r\\n]+'), lambda x: length(x))) > 1200 then 'forced' else 'boundary' end as cut_kind
+from held where length(text) > 1200
+"""
+
+_WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _sequences(table: str, key: str, text: str) -> str:
+    return f"""select distinct {key}, array_to_string(w[n:n + 4], ' ') as q
+  from (select {key}, w, unnest(range(1, len(w) - 3)) as n from (select {key}, {_WORDS.format(text)} as w from {table} where {text} is not null) where len(w) >= 5)"""
+
+
+P8_FOUND = f"""
+with d as ({_sequences("documents", "doc_id", "text")}), e as ({_sequences("eval_items", "item_id", "passage")}),
+n as (select item_id, count(*) as n from e group by item_id)
+select doc_id, item_id from d join e using (q) join n using (item_id) group by doc_id, item_id, n having count(*) / n >= 0.3
+"""
+
+
+def _alpha(table: str, key: str, votes: list[str], final: str, labels: list[str]) -> str:
+    wanted = ", ".join(f"'{x}'" for x in labels)
+    sides = " union all ".join(f"select {key}, {_plain_label(v)} as label from held" for v in votes)
+    return f"""
+select '{table}' as source, n_items, n_labels, round(o, 6) as observed_disagreement, round(e, 6) as expected_disagreement, case when e > 0 then round(1 - o / e, 6) end as alpha from (
+with held as ({_held(table, key, [*votes, final])}), given as (select * from ({sides}) where label in ({wanted})),
+cells as (select {key}, label, count(*) as c from given where {key} in (select {key} from given group by {key} having count(*) > 1) group by {key}, label),
+items as (select {key}, sum(c) as m, sum(c * c) as sq from cells group by {key}),
+t as (select sum(c) as n from cells group by label)
+select (select count(*) from items)::bigint as n_items, (select sum(m) from items)::bigint as n_labels,
+  (select sum((m * m - sq) / (m - 1)) / sum(m) from items) as o, (select (sum(n) * sum(n) - sum(n * n)) / (sum(n) * (sum(n) - 1)) from t) as e)"""
+
+
+P6_AGREEMENT = (
+    _alpha("adjudications", "decision_id", [f"{p}_status" for p in ("gm", "gv", "ka", "lo", "nb", "pe", "sd")], "final_status", STATUS_LABELS)
+    + " union all "
+    + _alpha("candidates", "pair_id", [f"{p}_relation" for p in ("gm", "gv", "ka", "lo", "nb")], "final_relation", RELATION_LABELS)
+)
+
+#: No SQL for the rest: p5 and p9 use rules beyond SQL's patterns, p6_found and p7 are iterative, p1_groups and p4_pieces
+#: are the rows behind p1_found and p4_found. Tests hold them against brute force.
+ORACLE_SQL = {
+    "p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p6_agreement": P6_AGREEMENT,
+    "p8_found": P8_FOUND,
+}

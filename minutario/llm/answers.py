@@ -87,10 +87,11 @@ def is_refusal(answer: str) -> bool:
 def compressed_share(answer: str, prompt: str) -> float:
     """Bytes that the answer needs beside the prompt as a zstandard dictionary, as a share of what it needs alone."""
     data = answer.encode()
-    alone = len(zstandard.ZstdCompressor(level=19, write_content_size=False).compress(data))
+    plain = zstandard.ZstdCompressor(level=19, write_content_size=False)
+    frame = len(plain.compress(b""))
     given = zstandard.ZstdCompressionDict(prompt.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     beside = len(zstandard.ZstdCompressor(level=19, dict_data=given, write_content_size=False, write_dict_id=False).compress(data))
-    return beside / max(alone, 1)
+    return (beside - frame) / max(len(plain.compress(data)) - frame, 1)
 
 
 def is_copy(answer: str, prompt: str) -> bool:
@@ -101,8 +102,8 @@ def is_copy(answer: str, prompt: str) -> bool:
     known = set(asked.split())
     if any(w not in known and w not in _LABEL_WORDS for w in said.split()):
         return False
-    given_back = len(known & set(said.split())) / len(known)
-    return given_back >= 0.7 and compressed_share(said, asked) < 0.6
+    repeated = [w for w in said.split() if w in known]
+    return len(set(repeated)) >= 0.7 * len(known) and compressed_share(" ".join(repeated), asked) < 0.6
 
 
 def language(text: str) -> tuple[str | None, int, int]:

@@ -62,7 +62,7 @@ def sketch(codes: np.ndarray, vocabulary: np.ndarray, common: np.ndarray, starts
     return out
 
 
-def _band_rows(batches: Iterator[pa.RecordBatch], common_hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _band_rows(batches: Iterator[pa.RecordBatch], common_hashes: np.ndarray, bands: int) -> Iterator[pa.RecordBatch]:
     """(id, hashes) -> one row for each band: key, id and the signature as three longs."""
     with np.errstate(over="ignore"):
         for batch in batches:
@@ -81,7 +81,7 @@ def _band_rows(batches: Iterator[pa.RecordBatch], common_hashes: np.ndarray) ->
             low = (((short >> np.uint16(MANTISSA_BITS)) & np.uint16(7)) << np.uint16(5)) | ((short >> np.uint16(MANTISSA_BITS - 5)) & np.uint16(31))
             low[short == 0] = 0
             signature = np.ascontiguousarray(low.astype(np.uint8).T).view(np.int64).reshape(len(ids), SIGNATURE // 8)
-            for band in range(BANDS):
+            for band in range(bands):
                 regs = sketch(codes, vocabulary, common, starts, range(functions + band * REPEATS, functions + (band + 1) * REPEATS))
                 key = np.full(len(ids), np.uint64(band + 1))
                 for r in regs:
@@ -153,26 +153,29 @@ def near_duplicate_groups(records: DataFrame, key: str, words: str, threshold: f
     counts = classes.select(F.explode("words").alias("word")).groupBy("word").count()
     common = np.array([r[0] for r in counts.where(F.col("count") > COMMON_SHARE * total).select("word").collect()], np.int64).view(np.uint64)
 
-    bands = classes.select("id", "words").mapInArrow(lambda batches: _band_rows(batches, common), "key bigint, id bigint, " + ", ".join(f"s{k} bigint" for k in range(SIGNATURE // 8)))
-    found = cut(bucket_candidates(bands, _close, near=8))
+    def banded(rows: DataFrame, bands: int) -> DataFrame:
+        return rows.mapInArrow(lambda batches: _band_rows(batches, common, bands), "key bigint, id bigint, " + ", ".join(f"s{k} bigint" for k in range(SIGNATURE // 8)))
+
     sets = classes.select("id", "words")
+    found = cut(bucket_candidates(banded(sets, BANDS), _close, near=8))
     links = cut(_linked(found.where("b is not null"), sets, threshold))
     tree = connected_components(links, "a", "b")
     hot = found.where("key is not null")
     if not hot.isEmpty():
         tree = cut(tree)
-        links = links.unionByName(_links_between_components(hot, bands, tree, sets, threshold))
+        links = links.unionByName(_links_between_components(hot, banded, tree, sets, threshold))
         tree = connected_components(cut(links), "a", "b")
     grouped = classes.select("id", "mark").join(tree.withColumnRenamed("node", "id"), "id", "left")
     return marked.join(grouped, "mark").select(F.col("key").alias(key), F.col("id").alias("class_id"), F.coalesce("root", "id").alias("group_id")).distinct()
 
 
-def _links_between_components(hot: DataFrame, bands: DataFrame, tree: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _links_between_components(hot: DataFrame, banded, tree: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links inside large buckets between rows that no link has joined yet."""
     members = hot.select(F.col("a").alias("id"), "key", "block").join(tree.withColumnRenamed("node", "id"), "id", "left")
     members = members.withColumn("root", F.coalesce("root", "id"))
     mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    members = members.join(mixed, "key", "left_semi")
-    signed = members.join(bands.select("id", *[f"s{k}" for k in range(SIGNATURE // 8)]).distinct(), "id")
+    members = cut(members.join(mixed, "key", "left_semi"))
+    signed = members.join(banded(sets.join(members.select("id").distinct(), "id", "left_semi"), 1).drop("key"), "id")
     pairs = block_pairs(signed, lambda l, r: (F.col(f"{l}.root") != F.col(f"{r}.root")) & _close_columns(l, r))
     return _linked(pairs, sets, threshold)
 

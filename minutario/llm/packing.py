@@ -58,7 +58,13 @@ def token_pieces(text: str, encoding, capacity: int) -> list[tuple[int, int, int
 
 
 def _best_configuration(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> np.ndarray:
-    """How many items of each rounded size fill one container most fully: a bounded knapsack, largest sizes first."""
+    """How many items of each rounded size go into one container: one of the longest, the rest filled most fully.
+
+    A container with the longest size left is hardest to fill later; the space beside it is a bounded knapsack.
+    """
+    counts = counts.copy()
+    counts[0] -= 1
+    capacity -= int(sizes[0])
     reach = np.full(capacity + 1, -1, np.int64)  # the size added last
     reach[0] = len(sizes)
     before = np.zeros(capacity + 1, np.int64)
@@ -66,7 +72,7 @@ def _best_configuration(sizes: np.ndarray, counts: np.ndarray, capacity: int) ->
         size = int(sizes[k])
         used = np.zeros(capacity + 1, np.int64)
         for _ in range(min(int(counts[k]), capacity // size)):
-            source = np.flatnonzero((reach >= 0) & (reach != len(sizes) + 1))
+            source = np.flatnonzero(reach >= 0)
             source = source[source + size <= capacity]
             fresh = source[(reach[source + size] < 0) & (used[source] < counts[k])]
             if not len(fresh):
@@ -78,6 +84,7 @@ def _best_configuration(sizes: np.ndarray, counts: np.ndarray, capacity: int) ->
             break
     at = int(np.flatnonzero(reach >= 0).max())
     chosen = np.zeros(len(sizes), np.int64)
+    chosen[0] = 1
     while at:
         chosen[reach[at]] += 1
         at = int(before[at])
@@ -89,7 +96,7 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 
     Linear grouping: large lengths, from long to short, form GROUPS groups of equal cardinality and are rounded up to
     their group's longest. Configurations of the few rounded sizes are chosen one after the other, each the fullest
-    that the remaining counts allow and used as often as they allow. The actual items take the places of their group,
+    around the longest size left, and used as often as the remaining counts allow. The actual items take the places of their group,
     and the small items go, from long to short, where they leave the least space.
     """
     container = np.full(len(lengths), -1, np.int64)

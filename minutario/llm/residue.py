@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from minutario.session import cut
+
 #: A message counts as recurring from so many different texts of one mask in so many sources.
 TEXTS, SOURCES = 3, 2
 #: Longest text that can be a message as a whole.
@@ -106,12 +108,13 @@ def residue_documents(documents: DataFrame, key: str = "doc_id", text: str = "te
     body = without_quotes(F.col(text))
     filler = r"(?i)(?:\b(?:" + "|".join(sorted(FILLER.split(), key=lambda w: (-len(w), w))) + r")\b[\s.,;:!?]*){" + str(FILLER_WORDS) + "}"
     reason = (
-        F.when(body.rlike(_any(PLACEHOLDERS)), "placeholder")
+        F.when(F.col(text).rlike(r"[\[{<(%@«]|__") & body.rlike(_any(PLACEHOLDERS)), "placeholder")
         .when(body.rlike(_any(UNSET)), "unset")
         .when(F.col(text).rlike(filler), "filler")
         .when(short & bare.rlike(r"(?i)^[\s\p{P}]*(?:" + _any(MESSAGES) + ")"), "message")
     )
     judged = given.select(key, source, reason.alias("reason"), F.when(short & bare.rlike(MESSAGE_WORDS), F.xxhash64(masked(bare))).alias("mask"), F.xxhash64(bare).alias("exact"))
+    judged = cut(judged.where(F.col("reason").isNotNull() | F.col("mask").isNotNull()))  # the patterns run once over each text
     open_ = judged.where(F.col("reason").isNull() & F.col("mask").isNotNull())
     recurring = open_.groupBy("mask").agg(F.approx_count_distinct("exact").alias("texts"), F.approx_count_distinct(source).alias("sources")).where((F.col("texts") >= TEXTS) & (F.col("sources") >= SOURCES))
     again = open_.join(recurring.select("mask"), "mask").select(key, F.lit("recurring").alias("reason"))

@@ -14,7 +14,7 @@ from minutario.session import shuffle_width
 #: Rows of one bucket that are paired in place. Larger buckets are cut into blocks of this size.
 BLOCK = 128
 
-_OUT = "a bigint, b bigint, key bigint, block int"
+_OUT = "a bigint, b bigint, key bigint, block int, mark bigint"
 
 
 def _pairs_in(key: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,15 +48,16 @@ def _stream(batches: Iterator[pa.RecordBatch], block: int, near: int, accept) ->
         a, b = rows["id"][i[ok]], rows["id"][j[ok]]
         return np.minimum(a, b), np.maximum(a, b)
 
-    def out(a, b, key, blk) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(key, pa.int64()), pa.array(blk, pa.int32())], names=["a", "b", "key", "block"])
+    def out(a, b, key, blk, mark) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if n == "block" else pa.int64()) for n, x in zip(("a", "b", "key", "block", "mark"), (a, b, key, blk, mark))], names=["a", "b", "key", "block", "mark"])
 
     def plain(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        none = pa.nulls(len(a))
-        return out(a, b, none.cast(pa.int64()), none.cast(pa.int32()))
+        none = pa.nulls(len(a), pa.int64())
+        return out(a, b, none, none.cast(pa.int32()), none)
 
     def hot(rows: dict[str, np.ndarray], place: np.ndarray, first: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        yield out(rows["id"], pa.nulls(len(place), pa.int64()), rows["key"], (place // block).astype(np.int32))
+        none = pa.nulls(len(place), pa.int64())
+        yield out(rows["id"], none, rows["key"], (place // block).astype(np.int32), rows.get("mark", none))
         if near:
             n = len(place)
             both = {c: np.concatenate([first[c], rows[c]]) for c in names}
@@ -103,10 +104,10 @@ def _stream(batches: Iterator[pa.RecordBatch], block: int, near: int, accept) ->
 
 
 def bucket_candidates(rows: DataFrame, accept: Callable, block: int = BLOCK, near: int = 0) -> DataFrame:
-    """Rows (key, id, payload...) of longs -> (a, b) accepted pairs, and (a, key, block) members of large buckets.
+    """Rows (key, id, payload...) of longs -> (a, b) accepted pairs, and (a, key, block, mark) members of large buckets.
 
     One shuffle by key; within a task the sorted rows stream by, so a bucket with a third of all rows is never held.
-    accept(columns, i, j) says which index pairs are worth a look.
+    accept(columns, i, j) says which index pairs are worth a look; a payload named mark stays with the members.
     """
     sorted_ = rows.repartition(shuffle_width(rows.sparkSession), "key").sortWithinPartitions("key", "id")
     return sorted_.mapInArrow(lambda batches: _stream(batches, block, near, accept), _OUT)

@@ -25,10 +25,10 @@ def _needed(size: np.ndarray | int, least: int, share: float):
 
 
 def _subset_rows(batches: Iterator[pa.RecordBatch], least: int, share: float) -> Iterator[pa.RecordBatch]:
-    """(part, id, tokens by rising frequency) of small sets -> (key of a subset of `least` tokens, id, first).
+    """(part, id, tokens by rising frequency) of small sets -> (key of a subset of `least` tokens, id, mark).
 
-    The `least` rarest common tokens of a pair lie among the smaller set's first size - needed + least tokens; first
-    marks the subsets from there, and only pairs with such a mark on either side are of use.
+    The `least` rarest common tokens of a pair lie among the smaller set's first size - needed + least tokens; the mark
+    is 1 for subsets from there, and only pairs with such a mark on either side are of use.
     """
     m = np.uint64(0xFF51AFD7ED558CCD)
     with np.errstate(over="ignore"):
@@ -55,12 +55,12 @@ def _subset_rows(batches: Iterator[pa.RecordBatch], least: int, share: float) ->
                     n = len(block)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(ids[rows[at : at + 2048]], len(choice))), pa.array(np.tile(first, n))],
-                        names=["key", "id", "first"],
+                        names=["key", "id", "mark"],
                     )
 
 
 def _marked(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    return (rows["first"][i] | rows["first"][j]) == 1
+    return (rows["mark"][i] | rows["mark"][j]) == 1
 
 
 def overlap_pairs(sets: DataFrame, least: int = 3, share: float = 0.75, small: int = SMALL) -> DataFrame:
@@ -79,14 +79,13 @@ def overlap_pairs(sets: DataFrame, least: int = 3, share: float = 0.75, small: i
     ranked = base.join(counted, ["part", "token"]).groupBy("part", "id").agg(F.array_sort(F.collect_list(F.struct("n", F.xxhash64("token").alias("t")))).alias("ranked"))
     ranked = cut(ranked.select("part", "id", F.transform("ranked", lambda x: x["t"]).alias("tokens")))
 
-    subsets = ranked.where(F.size("tokens") <= small).mapInArrow(lambda b: _subset_rows(b, least, share), "key bigint, id bigint, first bigint")
+    subsets = ranked.where(F.size("tokens") <= small).mapInArrow(lambda b: _subset_rows(b, least, share), "key bigint, id bigint, mark bigint")
     found = cut(bucket_candidates(subsets, _marked))
     candidates = found.where("b is not null").select("a", "b").distinct()
     hot = found.where("key is not null")
     if not hot.isEmpty():
-        flags = subsets.groupBy("key", "id").agg(F.max("first").alias("first"))
-        members = hot.select("key", "block", F.col("a").alias("id")).join(flags, ["key", "id"])
-        candidates = candidates.unionByName(block_pairs(members, lambda l, r: F.greatest(f"{l}.first", f"{r}.first") == 1))
+        members = hot.select("key", "block", F.col("a").alias("id"), "mark")
+        candidates = candidates.unionByName(block_pairs(members, lambda l, r: F.greatest(f"{l}.mark", f"{r}.mark") == 1))
 
     n = F.size("tokens")
     needed = F.greatest(F.lit(least), F.ceil(n * share - 1e-9)).cast("int")

@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from minutario.functions.text import without_accents
+from minutario.session import cut
 from minutario.versions import latest
 
 #: Words that stand for no value.
@@ -127,6 +128,17 @@ def is_other_language(answer: str, prompt: str) -> bool:
     return first >= 2 and first - own >= 2
 
 
+#: Stands for an answer whose language the function words leave open.
+OPEN = "?"
+
+
+def is_open(answer: str, prompt: str) -> bool:
+    """A sentence of at least five words in which the prompt's language has no more than one function word."""
+    asked, *_ = language(prompt)
+    words = re.findall(r"[^\W\d_]+", answer)
+    return asked in ("en", "es") and len(words) >= 5 and sum(w.lower() in _FUNCTION[asked] for w in words) <= 1
+
+
 def is_truncated(answer: str, prompt: str, terminal: float | None) -> bool:
     """The last sentence isn't closed. terminal: how often the last word ends a complete text, None if never seen.
 
@@ -173,12 +185,42 @@ def terminal_contexts(texts: DataFrame) -> DataFrame:
     return each.groupBy("word").agg((F.sum((F.col("at") == F.col("n") - 1).cast("int")) / F.count("*")).alias("terminal"))
 
 
+def _words(text: str) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}]+"), F.lit(0))
+
+
+def _function_words(words: Column, code: str) -> Column:
+    own = sorted(_FUNCTION[code])
+    return F.size(F.filter(words, lambda w: w.isin(own)))
+
+
+def language_dictionary(held: DataFrame) -> DataFrame:
+    """(word, weight): how much more often a word stands in English than in Spanish prompts and references, as log odds.
+
+    The texts' own language is told by the fixed function words; texts that those leave open teach nothing.
+    """
+    texts = held.select(F.explode(F.array("pregunta", "respuesta_referencia")).alias("t")).select(_words("t").alias("w"))
+    en, es = _function_words(F.col("w"), "en"), _function_words(F.col("w"), "es")
+    told = texts.select("w", F.when(en > es, 1).when(es > en, 0).alias("english")).where("english is not null")
+    counts = told.select("english", F.explode("w").alias("word")).groupBy("word").agg(F.sum("english").alias("en"), F.sum(1 - F.col("english")).alias("es"))
+    totals = counts.agg(F.sum("en").alias("ten"), F.sum("es").alias("tes"))
+    return counts.crossJoin(F.broadcast(totals)).select("word", F.ln((F.col("en") + 0.5) / (F.col("ten") + 1) / ((F.col("es") + 0.5) / (F.col("tes") + 1))).alias("weight"))
+
+
+def _other_by_dictionary(open_: DataFrame, held: DataFrame) -> DataFrame:
+    """Sentences with too few function words, told by the learnt dictionary: summed log odds against the prompt's language."""
+    asked = F.when(_function_words(_words("pregunta"), "en") > _function_words(_words("pregunta"), "es"), 1).otherwise(-1)
+    each = open_.join(held.select("pregunta_id", "pregunta", "respuesta_c2"), "pregunta_id").select("pregunta_id", asked.alias("asked"), F.explode(F.array_distinct(_words("respuesta_c2"))).alias("word"))
+    sums = each.join(language_dictionary(held), "word").groupBy("pregunta_id", "asked").agg(F.sum("weight").alias("odds"), F.count("*").alias("n"))
+    return sums.where((F.col("n") >= 3) & (F.col("odds") * F.col("asked") < -5)).select("pregunta_id", F.lit("language").alias("defect"))
+
+
 def defective_answers(reviews: DataFrame) -> DataFrame:
     """(pregunta_id, defect) for each held review whose answer is broken; one defect each, sound answers don't come out.
 
     Order of the tests: empty, refusal, copy, truncated, language. A null prompt has no words and no language. The
-    terminal contexts are learnt over all reference answers and all answers with a closing mark; the table of words is
-    joined to the reviews by their last word, nothing is gathered in the driver.
+    terminal contexts and the two languages' words are learnt over all reference answers and all answers with a closing mark; the tables of words are
+    joined to the reviews by word, nothing is gathered in the driver.
     """
     columns = ["pregunta_id", "stratum", "pregunta", "respuesta_referencia", "respuesta_c2"]
     held = latest(reviews.select(*columns, "ingested_at"), "pregunta_id", columns)
@@ -193,8 +235,12 @@ def defective_answers(reviews: DataFrame) -> DataFrame:
             rows = []
             for key, stratum, prompt, answer, terminal in zip(batch["pregunta_id"], batch["stratum"], batch["pregunta"], batch["respuesta_c2"], batch["terminal"]):
                 found = defect(answer, prompt or "", stratum, None if terminal is None or terminal != terminal else terminal)
+                if found is None and not is_refusal(answer) and is_open(answer, prompt or ""):
+                    found = OPEN
                 if found:
                     rows.append((key, found))
             yield pd.DataFrame(rows, columns=["pregunta_id", "defect"])
 
-    return keyed.select("pregunta_id", "stratum", "pregunta", "respuesta_c2", "terminal").mapInPandas(judge, "pregunta_id string, defect string")
+    judged = cut(keyed.select("pregunta_id", "stratum", "pregunta", "respuesta_c2", "terminal").mapInPandas(judge, "pregunta_id string, defect string"))
+    open_ = judged.where(F.col("defect") == OPEN).select("pregunta_id")
+    return judged.where(F.col("defect") != OPEN).unionByName(_other_by_dictionary(open_, held))

@@ -222,6 +222,16 @@ def test_defective_answers_table(spark):
     assert answers.defective_answers(df.where("false")).count() == 0
 
 
+def test_language_without_function_words_is_told_by_the_learnt_dictionary(spark):
+    schema = "pregunta_id string, stratum string, pregunta string, respuesta_referencia string, respuesta_c2 string, ingested_at timestamp"
+    day = datetime(2024, 1, 1)
+    rows_ = [(f"e{i}", "E1", "Who has to test the steel dial?", "The team noted that steel beats cork, for heat.", "The steel dial.", day) for i in range(9)]
+    rows_ += [(f"s{i}", "E1", "¿Quién debe probar el mando?", "El equipo dijo que la madera gana por el calor.", "El mando.", day) for i in range(9)]
+    rows_ += [("x", "E1", "¿Quién debe probar el mando?", None, "Noted: steel beats cork, heat.", day), ("y", "E1", "Who has to test the dial?", None, "Noted: steel beats cork, heat.", day)]
+    found = rows(answers.defective_answers(spark.createDataFrame(rows_, schema)))
+    assert found == {("x", "language")}
+
+
 # Consensus
 
 

@@ -16,14 +16,18 @@ def unpivoted(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
     return df.select(*keep, pairs).select(*keep, "_p.*").where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def describe_numeric(df: DataFrame, columns: Sequence[str], log: bool = False) -> DataFrame:
-    """One row per column: n, location, spread and shape. Skewness and kurtosis are corrected for bias."""
+def describe_numeric(df: DataFrame, columns: Sequence[str], log: bool = False, exact: bool = True) -> DataFrame:
+    """One row per column: n, location, spread and shape. Skewness and kurtosis are corrected for bias.
+
+    Exact quantiles keep a count for every distinct value; for columns with billions of them take exact=False, which
+    uses mergeable sketches and leaves the mode out.
+    """
     long = unpivoted(df, columns)
     if log:
         long = long.withColumn("value", F.log1p("value"))
     v, n = F.col("value"), F.col("n")
     base = long.groupBy("variable").agg(
-        F.count("*").alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)])).alias("_q"), F.mode(v, True).alias("mode"),
+        F.count("*").alias("n"), F.avg(v).alias("mean"), (F.percentile if exact else F.percentile_approx)(v, F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)])).alias("_q"), (F.mode(v, True) if exact else F.lit(None).cast("double")).alias("mode"),
         F.var_samp(v).alias("variance"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.skewness(v).alias("_g1"), F.kurtosis(v).alias("_g2"),
     )
     skew = F.when((n > 2) & ~F.isnan("_g1"), F.sqrt(n * (n - 1)) / (n - 2) * F.col("_g1"))
@@ -158,3 +162,85 @@ def regularised_gamma_q(a: float, x: float) -> float:
 
 def chi_square_tail(statistic: float, dof: int) -> float:
     return regularised_gamma_q(dof / 2, statistic / 2)
+
+
+def correlation_matrix(df: DataFrame, columns: Sequence[str]):
+    """The k x k matrix of Pearson correlations over complete rows, gathered in one pass of sums."""
+    import numpy as np
+
+    k = len(columns)
+    whole = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
+    row = whole.agg(*[F.corr(a, b).alias(f"{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]).collect()[0]
+    out = np.eye(k)
+    for i in range(k):
+        for j in range(i + 1, k):
+            out[i, j] = out[j, i] = row[f"{i}_{j}"]
+    return out
+
+
+def variance_inflation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(variable, vif): the diagonal of the inverse correlation matrix; infinite for exact dependence."""
+    import numpy as np
+
+    matrix = correlation_matrix(df, columns)
+    singular = np.linalg.matrix_rank(matrix) < len(columns)
+    values = [float("inf")] * len(columns) if singular else np.linalg.inv(matrix).diagonal().tolist()
+    return df.sparkSession.createDataFrame(list(zip(columns, values)), "variable string, vif double")
+
+
+def standardised_components(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(component, variable, loading, eigenvalue, share, kept): principal components of standardised columns.
+
+    A component's largest loading is positive; kept marks eigenvalues above 1. Only the k x k matrix leaves the cluster.
+    """
+    import numpy as np
+
+    values, vectors = np.linalg.eigh(correlation_matrix(df, columns))
+    rows = []
+    for place, at in enumerate(values.argsort()[::-1], 1):
+        v = vectors[:, at] * np.sign(vectors[np.abs(vectors[:, at]).argmax(), at])
+        rows += [(place, c, float(x), float(values[at]), float(values[at] / len(columns)), bool(values[at] > 1)) for c, x in zip(columns, v)]
+    return df.sparkSession.createDataFrame(rows, "component int, variable string, loading double, eigenvalue double, share double, kept boolean")
+
+
+def rank_sum(df: DataFrame, value: str, flag: Column) -> DataFrame:
+    """(n1, n0, u, z) of the Mann-Whitney test of value between rows where the flag holds and where it doesn't."""
+    ranked = mid_ranks(df.where(F.col(value).isNotNull()).select(F.col(value), flag.alias("_f")).where("_f is not null"), value)
+    sums = ranked.agg(F.count_if("_f").alias("n1"), F.count_if(~F.col("_f")).alias("n0"), F.sum(F.when(F.col("_f"), F.col("rank"))).alias("r"))
+    ties = ranked.select(value, "ties").distinct().agg(F.sum(F.pow("ties", F.lit(3)) - F.col("ties")).alias("t"))
+    n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
+    u, n = F.col("r") - n1 * (n1 + 1) / 2, n1 + n0
+    spread = F.sqrt(n1 * n0 / 12 * ((n + 1) - F.col("t") / (n * (n - 1))))
+    return sums.crossJoin(ties).select("n1", "n0", u.alias("u"), ((u - n1 * n0 / 2) / spread).alias("z"))
+
+
+def kendall_by_group(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
+    """(by, n_pairs, tau_b) from concordant and discordant pairs inside small groups, such as a series' meetings."""
+    a, b = (df.select(by, F.col(x).alias(f"{s}x"), F.col(y).alias(f"{s}y"), F.monotonically_increasing_id().alias(f"{s}i")) for s in "ab")
+    sign = F.signum(F.col("ax") - F.col("bx")) * F.signum(F.col("ay") - F.col("by"))
+    pairs = a.join(b, by).where("ai < bi")
+    sums = pairs.groupBy(by).agg(F.count("*").alias("n_pairs"), F.sum(sign).alias("s"), F.count_if(F.col("ax") != F.col("bx")).alias("px"), F.count_if(F.col("ay") != F.col("by")).alias("py"))
+    return sums.select(by, "n_pairs", F.when((F.col("px") > 0) & (F.col("py") > 0), F.col("s") / F.sqrt(F.col("px") * F.col("py"))).alias("tau_b"))
+
+
+def local_outlier_factors(df: DataFrame, by: str, key: str, columns: Sequence[str], neighbours: int = 20) -> DataFrame:
+    """(by, key, factor): density-based outliers inside groups of bounded size; 1 is usual, more is sparser."""
+    import numpy as np
+    import pandas as pd
+
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (by, key)}
+
+    def factors(frame: pd.DataFrame) -> pd.DataFrame:
+        x = frame[list(columns)].to_numpy(float)
+        k = min(neighbours, len(x) - 1)
+        if k < 1:
+            return frame[[by, key]].assign(factor=1.0)
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        np.fill_diagonal(d, np.inf)
+        near = np.argsort(d, 1, kind="stable")[:, :k]
+        radius = np.take_along_axis(d, near[:, -1:], 1)[:, 0]
+        reach = np.maximum(np.take_along_axis(d, near, 1), radius[near])
+        density = 1 / np.maximum(reach.mean(1), 1e-10)
+        return frame[[by, key]].assign(factor=density[near].mean(1) / density)
+
+    return df.select(by, key, *columns).na.drop().groupBy(by).applyInPandas(factors, f"`{by}` {kinds[by]}, `{key}` {kinds[key]}, factor double")

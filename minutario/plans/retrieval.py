@@ -125,22 +125,22 @@ def j11(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def halves(spark: SparkSession, folder: str) -> DataFrame:
-    """Scored pairs as predictions (earlier decision) against references (later decision), by series."""
-    return P.scored_candidates(items(spark, folder)).select("series_id", F.col("earlier").alias("predicted"), F.col("later").alias("reference"), "score")
+    """Scored pairs as predictions (earlier decision) against references (later decision), by pair of meetings."""
+    return P.scored_candidates(items(spark, folder)).select(F.concat_ws("-", "earlier_meeting", "later_meeting").alias("meetings"), F.col("earlier").alias("predicted"), F.col("later").alias("reference"), "score")
 
 
 @query("m11_alignment")
 def m11(spark: SparkSession, folder: str) -> DataFrame:
-    m = alignment.align_groups(halves(spark, folder), "series_id", "predicted", "reference", "score", [0.4, 0.5, 0.6])
+    m = alignment.align_groups(halves(spark, folder), "meetings", "predicted", "reference", "score", [0.4, 0.5, 0.6])
     return m.withColumn("similarity", rounded("similarity"))
 
 
 @query("m17_pooled_scores")
 def m17(spark: SparkSession, folder: str) -> DataFrame:
-    """Precision, recall and F1 by threshold over all series."""
+    """Precision, recall and F1 by threshold over all pairs of meetings."""
     given = halves(spark, folder)
     n = given.agg(F.countDistinct("predicted").alias("np"), F.countDistinct("reference").alias("nr"))
-    tp = alignment.align_groups(given, "series_id", "predicted", "reference", "score", [0.4, 0.5, 0.6]).groupBy("tau").agg(F.count("*").alias("tp")).crossJoin(n)
+    tp = alignment.align_groups(given, "meetings", "predicted", "reference", "score", [0.4, 0.5, 0.6]).groupBy("tau").agg(F.count("*").alias("tp")).crossJoin(n)
     p, r, f = agreement.precision_recall_f1(F.col("tp"), F.col("np") - F.col("tp"), F.col("nr") - F.col("tp"))
     return tp.select("tau", "tp", rounded(p).alias("precision"), rounded(r).alias("recall"), rounded(f).alias("f1"))
 

@@ -223,7 +223,7 @@ def defective_answers(reviews: DataFrame) -> DataFrame:
     joined to the reviews by word, nothing is gathered in the driver.
     """
     columns = ["pregunta_id", "stratum", "pregunta", "respuesta_referencia", "respuesta_c2"]
-    held = latest(reviews.select(*columns, "ingested_at"), "pregunta_id", columns)
+    held = cut(latest(reviews.select(*columns, "ingested_at"), "pregunta_id", columns))
     closed = held.where(F.col("respuesta_c2").rlike(r"[.!?]\s*$") & ~F.col("respuesta_c2").rlike(r"\.\.\.\s*$"))
     complete = held.select(F.col("respuesta_referencia").alias("text")).unionByName(closed.select(F.col("respuesta_c2").alias("text")))
     plain = F.regexp_replace(without_accents(F.lower("respuesta_c2")), r"[0-9]+", "0")

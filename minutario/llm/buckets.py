@@ -126,3 +126,15 @@ def block_pairs(members: DataFrame, condition: Callable[[str, str], Column]) ->
     on &= (F.col("l.block") < F.col("r.block")) | (F.col("l.id") < F.col("r.id"))
     pair = left.join(right, on & condition("l", "r"))
     return pair.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
+
+
+def block_pairs_with(few: DataFrame, members: DataFrame, condition: Callable[[str, str], Column]) -> DataFrame:
+    """All (a, b) of a row of few and a member of the same key that meet the condition: few go to each of the key's blocks.
+
+    One task's share is a block of few beside a block of members; the work is few times members, not members squared.
+    """
+    last = members.groupBy("key").agg(F.max("block").alias("last"))
+    left = few.join(last, "key").withColumn("other", F.explode(F.sequence(F.lit(0), "last"))).alias("l")
+    right = members.alias("r")
+    pair = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.other") == F.col("r.block")) & (F.col("l.id") != F.col("r.id")) & condition("l", "r"))
+    return pair.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))

@@ -51,11 +51,30 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((j, i) if flipped else (i, j) for i, j in pairs)
 
 
+def _components(allowed: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, columns) of the connected parts of the allowed pairs; rows and columns without one are left out."""
+    n, m = allowed.shape
+    label = np.where(allowed.any(1), np.arange(n), n)
+    while True:
+        column = np.where(allowed, label[:, None], n).min(0, initial=n)
+        moved = np.minimum(label, np.where(allowed, column[None, :], n).min(1, initial=n))
+        if (moved == label).all():
+            return [(np.flatnonzero(label == k), np.flatnonzero(column == k)) for k in np.unique(label[label < n])]
+        label = moved
+
+
 def aligned(similarity: np.ndarray, tau: float) -> list[tuple[int, int, float]]:
-    """Matches with a similarity of at least tau: as many as possible, then as similar as possible."""
+    """Matches with a similarity of at least tau: as many as possible, then as similar as possible.
+
+    Connected parts of the allowed pairs are independent of each other and solved one by one.
+    """
     allowed = np.isfinite(similarity) & (similarity >= tau)
-    cost = np.where(allowed, -np.where(allowed, similarity, 0), FORBIDDEN)
-    return [(i, j, float(similarity[i, j])) for i, j in assign(cost) if allowed[i, j]]
+    out = []
+    for rows, columns in _components(allowed):
+        part = np.ix_(rows, columns)
+        cost = np.where(allowed[part], -np.where(allowed[part], similarity[part], 0), FORBIDDEN)
+        out += [(int(rows[i]), int(columns[j]), float(similarity[rows[i], columns[j]])) for i, j in assign(cost) if allowed[rows[i], columns[j]]]
+    return sorted(out)
 
 
 def align_groups(pairs: DataFrame, by: str, predicted: str, reference: str, similarity: str, taus: Sequence[float]) -> DataFrame:

@@ -98,18 +98,18 @@ def w07(spark: SparkSession, folder: str) -> DataFrame:
     return spans.consecutive_runs(chunks(spark, folder).select("meeting_id", place.alias("place")), ["meeting_id"], "place")
 
 
-@query("j08_span_overlap", f"with c as (select * from {CHUNKS} where char_start < char_end), w as (select distinct meeting_id, unnest(range(0, 6000, 700)) as s from c) select chunk_id, s as window_start, least(char_end, s + 900) - greatest(char_start, s) as shared from c join w using (meeting_id) where char_start < s + 900 and s < char_end")
+@query("j08_span_overlap", f"with c as (select * from {CHUNKS} where char_start < char_end), w as (select meeting_id, unnest(range(0, max(char_end) + 1, 700)) as s from c group by meeting_id) select chunk_id, s as window_start, least(char_end, s + 900) - greatest(char_start, s) as shared from c join w using (meeting_id) where char_start < s + 900 and s < char_end")
 def j08(spark: SparkSession, folder: str) -> DataFrame:
     c = chunks(spark, folder)
-    windows = c.where("char_start < char_end").select("meeting_id").distinct().select("meeting_id", F.explode(F.sequence(F.lit(0), F.lit(5600), F.lit(700))).alias("s")).withColumn("e", F.col("s") + 900)
+    windows = c.where("char_start < char_end").groupBy("meeting_id").agg(F.max("char_end").alias("m")).select("meeting_id", F.explode(F.sequence(F.lit(0), F.col("m"), F.lit(700))).alias("s")).withColumn("e", F.col("s") + 900)
     both = spans.overlap_join(c.select("chunk_id", "meeting_id", "char_start", "char_end"), windows, ["meeting_id"], ("char_start", "char_end"), ("s", "e"), 1500)
     return both.select("chunk_id", F.col("s").cast("long").alias("window_start"), (F.least("char_end", "e") - F.greatest("char_start", "s")).cast("long").alias("shared"))
 
 
-@query("j10_span_containment", f"with c as (select * from {CHUNKS} where char_start < char_end), w as (select distinct meeting_id, unnest(range(0, 6000, 700)) as s from c) select chunk_id, count(*) as n from c join w using (meeting_id) where s <= char_start and char_end <= s + 1500 group by 1")
+@query("j10_span_containment", f"with c as (select * from {CHUNKS} where char_start < char_end), w as (select meeting_id, unnest(range(0, max(char_end) + 1, 700)) as s from c group by meeting_id) select chunk_id, count(*) as n from c join w using (meeting_id) where s <= char_start and char_end <= s + 1500 group by 1")
 def j10(spark: SparkSession, folder: str) -> DataFrame:
     c = chunks(spark, folder)
-    windows = c.where("char_start < char_end").select("meeting_id").distinct().select("meeting_id", F.explode(F.sequence(F.lit(0), F.lit(5600), F.lit(700))).alias("s")).withColumn("e", F.col("s") + 1500)
+    windows = c.where("char_start < char_end").groupBy("meeting_id").agg(F.max("char_end").alias("m")).select("meeting_id", F.explode(F.sequence(F.lit(0), F.col("m"), F.lit(700))).alias("s")).withColumn("e", F.col("s") + 1500)
     both = spans.overlap_join(c.select("chunk_id", "meeting_id", "char_start", "char_end"), windows, ["meeting_id"], ("char_start", "char_end"), ("s", "e"), 1500)
     return both.where("s <= char_start and char_end <= e").groupBy("chunk_id").agg(F.count("*").alias("n"))
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,15 +21,30 @@ WINDOW_SIZES = (128, 256, 512, 1024)
 #: Up to this many item sequences the index is broadcast (8 MB for a million); above it items go in several passes.
 SEQUENCES_PER_PASS = 1_000_000
 
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
+_WORD = re.compile(r"[^\W_]+")
 
 
-def word_sequences(text: str | None, n: int = WORDS) -> np.ndarray:
+#: Word hashes that a task keeps at once.
+KEPT_WORDS = 500_000
+
+
+class WordHashes(dict):
+    """Hashes of words, worked out once each; emptied when it has grown to KEPT_WORDS."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+def word_sequences(text: str | None, hashes: WordHashes | None = None, n: int = WORDS) -> np.ndarray:
     """64-bit hashes of all sequences of n consecutive words in order; fewer than n words give none."""
     words = _WORD.findall((text or "").lower())
     if len(words) < n:
         return np.zeros(0, np.uint64)
-    at = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+    known = WordHashes() if hashes is None else hashes
+    at = np.fromiter((known[w] for w in words), np.uint64, len(words))
     total = np.zeros(len(words) - n + 1, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(n):
@@ -47,8 +62,9 @@ def registers(hashes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class ItemIndex:
-    """Items by window size: sorted register values with their items, and every item's distinct sequences."""
+    """Items by window size: sorted register values with their items, all those values, and every item's distinct sequences."""
 
+    values: np.ndarray
     by_size: dict[int, tuple[np.ndarray, np.ndarray]]
     ids: list[int]
     sequences: list[np.ndarray]
@@ -66,7 +82,8 @@ def build_index(items: list[tuple[int, np.ndarray]]) -> ItemIndex:
         places = np.concatenate([np.full(len(v), p) for v, p in own])
         order = np.argsort(values, kind="stable")
         merged[size] = (values[order], places[order])
-    return ItemIndex(merged, [i for i, _ in items], [s for _, s in items])
+    values = np.unique(np.concatenate([v for v, _ in merged.values()]))
+    return ItemIndex(values, merged, [i for i, _ in items], [s for _, s in items])
 
 
 def _window_registers(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -80,30 +97,31 @@ def _window_registers(hashes: np.ndarray, size: int) -> np.ndarray:
     return np.unique(joined)
 
 
-def find_items(text: str | None, index: ItemIndex, least: float = CONTAINMENT) -> list[tuple[int, float]]:
+def _in_sorted(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the known ones, which are sorted and not empty."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def find_items(text: str | None, index: ItemIndex, least: float = CONTAINMENT, words: WordHashes | None = None) -> list[tuple[int, float]]:
     """(item id, share of its distinct sequences in the text) for the items that reach the share.
 
     An item is a candidate once it shares a register value with a window of its size class; shared sequences that are
     the least of their register on both sides show there. Candidates are verified on the exact sequence sets.
     """
-    hashes = word_sequences(text)
-    if not len(hashes):
-        return []
+    hashes = word_sequences(text, words)
+    if not len(hashes) or not _in_sorted(hashes, index.values).any():
+        return []  # a shared register value is one of the text's own hashes
     candidates: set[int] = set()
     for size, (values, places) in index.by_size.items():
         seen = _window_registers(hashes, size)
-        at = np.searchsorted(seen, values)
-        hit = at < len(seen)
-        hit[hit] = seen[at[hit]] == values[hit]
-        candidates.update(places[hit].tolist())
+        candidates.update(places[_in_sorted(values, seen)].tolist())
     if not candidates:
         return []
     own = np.unique(hashes)
     out = []
     for place in sorted(candidates):
         wanted = index.sequences[place]
-        at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
-        share = float((own[at] == wanted).sum()) / len(wanted)
+        share = float(_in_sorted(wanted, own).sum()) / len(wanted)
         if share >= least:
             out.append((index.ids[place], share))
     return out
@@ -125,8 +143,9 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc: str = "doc_id", te
         index = build_index(own)  # goes to the tasks with the function, which Spark broadcasts
 
         def scan(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+            words = WordHashes()
             for batch in batches:
-                rows = [(d, i, s) for d, t in zip(batch[doc], batch[text]) for i, s in find_items(t, index, least)]
+                rows = [(d, i, s) for d, t in zip(batch[doc], batch[text]) for i, s in find_items(t, index, least, words)]
                 if rows:
                     yield pd.DataFrame(rows, columns=[doc, item, "containment"])
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from minutario.session import cut
 
-#: A message counts as recurring from so many different texts of one mask in so many sources.
+#: A mask counts as recurring from so many different texts of it in so many sources.
 TEXTS, SOURCES = 3, 2
-#: Longest text that can be a message as a whole.
-MESSAGE_CHARS = 400
+#: Copies count as recurring, whatever their words, from so many rows in so many sources; content is copied a few times only.
+WIDE_ROWS, WIDE_SOURCES = 20, 10
 #: Made-up words in a row that make filler.
 FILLER_WORDS = 6
 
@@ -96,26 +96,33 @@ def residue_documents(documents: DataFrame, key: str = "doc_id", text: str = "te
     """(key, reason) for texts that are messages, notices, filler or templates; one row for each key and text.
 
     reason is placeholder, unset, filler, message or recurring, the first that holds. A placeholder, an unset value or a
-    run of filler words counts anywhere; a message must be the whole of a short text, so that content which mentions
-    one is kept. Texts equal after masking are counted over all records; those that recur, in different wordings and
-    several sources, need only contain a word of messages (copies of one text are no sign of a message). The counts are hashes with map-side sums, joined back by hash, so a message that makes
-    up a third of the table stays cheap. Null, blank and very short texts (under three letters or digits) don't come
-    out; repeated rows come out once.
+    run of filler words counts anywhere; a message must begin the text, so that content which mentions one is kept.
+    Every text is masked and counted over all records, whatever its length and words. A mask recurs in TEXTS different
+    wordings and SOURCES sources, and is then a message if one of its texts is one or has a word of messages; a mask of
+    three words or more in WIDE_ROWS rows and WIDE_SOURCES sources is one whatever its words, copies of one text
+    included (fewer copies are no sign of a message). All counts are exact, over hashes with map-side sums, joined back by hash, so a
+    message that makes up a third of the table stays cheap. Null, blank and very short texts (under three letters or
+    digits) don't come out; repeated rows come out once.
     """
     given = documents.select(key, text, source).where(F.col(text).rlike(r"[\p{L}\p{N}][^\p{L}\p{N}]*[\p{L}\p{N}][^\p{L}\p{N}]*[\p{L}\p{N}]"))
     bare = F.regexp_replace(F.col(text), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
-    short = F.length(bare) <= MESSAGE_CHARS
     body = without_quotes(F.col(text))
     filler = r"(?i)(?:\b(?:" + "|".join(sorted(FILLER.split(), key=lambda w: (-len(w), w))) + r")\b[\s.,;:!?]*){" + str(FILLER_WORDS) + "}"
     reason = (
         F.when(F.col(text).rlike(r"[\[{<(%@«]|__") & body.rlike(_any(PLACEHOLDERS)), "placeholder")
         .when(body.rlike(_any(UNSET)), "unset")
         .when(F.col(text).rlike(filler), "filler")
-        .when(short & bare.rlike(r"(?i)^[\s\p{P}]*(?:" + _any(MESSAGES) + ")"), "message")
+        .when(bare.rlike(r"(?i)^[\s\p{P}]*(?:" + _any(MESSAGES) + ")"), "message")
     )
-    judged = given.select(key, source, reason.alias("reason"), F.when(short & bare.rlike(MESSAGE_WORDS), F.xxhash64(masked(bare))).alias("mask"), F.xxhash64(bare).alias("exact"))
-    judged = cut(judged.where(F.col("reason").isNotNull() | F.col("mask").isNotNull()))  # the patterns run once over each text
-    open_ = judged.where(F.col("reason").isNull() & F.col("mask").isNotNull())
-    recurring = open_.groupBy("mask").agg(F.approx_count_distinct("exact").alias("texts"), F.approx_count_distinct(source).alias("sources")).where((F.col("texts") >= TEXTS) & (F.col("sources") >= SOURCES))
-    again = open_.join(recurring.select("mask"), "mask").select(key, F.lit("recurring").alias("reason"))
+    several = bare.rlike(r"\p{L}[^\p{L}]+\p{L}+[^\p{L}]+\p{L}")
+    judged = cut(given.select(key, source, reason.alias("reason"), F.xxhash64(masked(bare)).alias("mask"), F.xxhash64(bare).alias("exact"), bare.rlike(MESSAGE_WORDS).alias("worded"), several.alias("several")))  # the patterns run once over each text
+    sign = F.col("worded") | F.coalesce(F.col("reason") == "message", F.lit(False))
+    texts = judged.groupBy("mask", "exact").agg(F.count("*").alias("rows"), F.max(sign).alias("sign"), F.max("several").alias("several"))
+    groups = texts.groupBy("mask").agg(F.count("*").alias("texts"), F.sum("rows").alias("rows"), F.max("sign").alias("sign"), F.max("several").alias("several"))
+    varied = (F.col("texts") >= TEXTS) & F.col("sign")
+    wide = (F.col("rows") >= WIDE_ROWS) & F.col("several")
+    groups = groups.where(varied | wide)
+    sources = judged.select("mask", source).distinct().groupBy("mask").agg(F.count(source).alias("sources"))
+    recurring = groups.join(sources, "mask").where((varied & (F.col("sources") >= SOURCES)) | (wide & (F.col("sources") >= WIDE_SOURCES)))
+    again = judged.where(F.col("reason").isNull()).join(recurring.select("mask"), "mask").select(key, F.lit("recurring").alias("reason"))
     return judged.where(F.col("reason").isNotNull()).select(key, "reason").unionByName(again).distinct()

@@ -363,3 +363,24 @@ def test_recurring_texts_are_messages_but_copies_are_not(spark):
     data += [(50 + i, "They moved the server room after the session of May.", f"s{i % 3}") for i in range(9)]
     df = spark.createDataFrame(data, "doc_id long, text string, source string")
     assert {r.doc_id for r in residue.residue_documents(df).collect()} == set(range(9))
+
+
+def residue_keys(spark, texts):
+    df = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(texts)], "doc_id long, text string, source string")
+    return {r.doc_id for r in residue.residue_documents(df).collect()}
+
+
+def test_residue_finds_unlisted_pages_copied_or_reworded_over_many_sources(spark):
+    content = [(f"The team of {a}{b} chose a red case for the {b}{a} remote.", f"s{i % 12}") for i, (a, b) in enumerate((a, b) for a in "abcdefgh" for b in "klmnopqr")]
+    copied = [("Whoops, the hamsters are asleep.", f"s{i % 12}") for i in range(30)]
+    numbered = [(f"We hit a snag, come back later ({i}).", f"s{i % 12}") for i in range(24)]
+    yes = [("Yes.", f"s{i % 12}") for i in range(40)]
+    few = [("Nobody objected to the second prototype.", f"s{i % 12}") for i in range(4)]
+    found = residue_keys(spark, copied + numbered + content + yes + few)
+    assert found == set(range(54))
+
+
+def test_residue_messages_have_no_length_limit_and_counts_are_exact(spark):
+    tail = " The archive keeps minutes of many groups." * 20
+    assert residue_keys(spark, [("403 Forbidden\nnginx" + tail, "a")]) == {0}
+    assert residue_keys(spark, [(f"Retry {i}, this server lost the archive.{tail}", f"s{i % 2}") for i in range(3)]) == {0, 1, 2}

@@ -244,3 +244,72 @@ def local_outlier_factors(df: DataFrame, by: str, key: str, columns: Sequence[st
         return frame[[by, key]].assign(factor=density[near].mean(1) / density)
 
     return df.select(by, key, *columns).na.drop().groupBy(by).applyInPandas(factors, f"`{by}` {kinds[by]}, `{key}` {kinds[key]}, factor double")
+
+
+def line_outliers(df: DataFrame, column: str, neighbours: int = 20, contamination: float = 0.05) -> DataFrame:
+    """(column, lof, lof_flag, robust_sq, mcd_flag) for each distinct value of one numeric column, exactly.
+
+    lof is the density-based factor (1 is usual), flagged above its 1 - contamination quantile over all rows; of
+    neighbours at equal distance the lower value counts. robust_sq is the squared distance under the minimum covariance
+    determinant, which for one column is the shortest half; it is corrected by the median, reweighted and flagged above
+    the 0.975 quantile of chi-square. One task sees one count per distinct value. Nulls and NaN are not scored; fewer
+    than three rows or a constant column give no rows.
+    """
+    import numpy as np
+    import pandas as pd
+
+    half, far = 0.45493642311957283, 5.023886187314888  # chi-square of one degree: quantiles 0.5 and 0.975
+
+    def at(cum: np.ndarray, v: np.ndarray, place):
+        return v[np.searchsorted(cum, place, "right")]
+
+    def quantile(v: np.ndarray, c: np.ndarray, q: float) -> float:
+        order = np.argsort(v, kind="stable")
+        cum, place = np.cumsum(c[order]), q * (c.sum() - 1)
+        low = at(cum, v[order], int(place))
+        return low + (at(cum, v[order], min(int(place) + 1, c.sum() - 1)) - low) * (place - int(place))
+
+    def flags(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_v")
+        v, c = frame["_v"].to_numpy(float), frame["_n"].to_numpy(np.int64)
+        n = int(c.sum())
+        if n < 3 or len(v) < 2:
+            return pd.DataFrame({"_v": [], "lof": [], "lof_flag": [], "robust_sq": [], "mcd_flag": []}).astype({"lof_flag": bool, "mcd_flag": bool})
+        x = (v - np.average(v, weights=c)) / np.sqrt(np.average((v - np.average(v, weights=c)) ** 2, weights=c))
+
+        k = min(neighbours, n - 1)
+        kept = np.minimum(c, k + 1)  # more copies than that change no point's neighbours
+        copies, group = np.repeat(x, kept), np.repeat(np.arange(len(x)), kept)
+        first = np.cumsum(kept) - kept
+        near = first[:, None] + np.r_[-k:0, 1 : 2 * k + 1]
+        inside = (near >= 0) & (near < len(copies))
+        near = np.clip(near, 0, len(copies) - 1)
+        d = np.where(inside, np.abs(copies[near] - x[:, None]), np.inf)
+        best = np.argsort(d, 1, kind="stable")[:, :k]
+        d, near = np.take_along_axis(d, best, 1), group[np.take_along_axis(near, best, 1)]
+        density = 1 / (np.maximum(d, d[near, -1]).mean(1) + 1e-10)
+        lof = density[near].mean(1) / density
+
+        h, cum = -(-(n + 2) // 2), np.cumsum(c)
+        if h < n:
+            starts = np.unique(np.r_[0, cum, cum - h])
+            starts = starts[(starts >= 0) & (starts < n - h)]
+            width, low, high = np.diff(np.r_[starts, n - h]), at(cum, x, starts), at(cum, x, starts + h)
+            least = high - low == (high - low).min()
+            centre = np.average((high + low)[least] / 2, weights=width[least])
+            order = np.argsort(np.abs(x - centre), kind="stable")
+            share = np.zeros(len(x))
+            share[order] = np.clip(h - (np.cumsum(c[order]) - c[order]), 0, c[order])
+        else:
+            share, centre = c.astype(float), np.average(x, weights=c)
+        spread = np.average((x - np.average(x, weights=share)) ** 2, weights=share)
+        robust = (x - centre) ** 2 / max(spread, 1e-300)
+        middle = quantile(robust, c, 0.5) / half
+        core = c * (robust / max(middle, 1e-300) < far)
+        centre = np.average(x, weights=core)
+        robust = (x - centre) ** 2 / max(np.average((x - centre) ** 2, weights=core), 1e-300)
+        return pd.DataFrame({"_v": v, "lof": lof, "lof_flag": lof > quantile(lof, c, 1 - contamination), "robust_sq": robust, "mcd_flag": robust > far})
+
+    value = F.col(column).cast("double")
+    counts = df.select(value.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy("_v").agg(F.count("*").alias("_n"))
+    return counts.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(flags, "_v double, lof double, lof_flag boolean, robust_sq double, mcd_flag boolean").withColumnRenamed("_v", column)

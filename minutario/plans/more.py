@@ -13,6 +13,7 @@ from minutario.functions.text import plain_label
 from minutario.operators import intervals
 from minutario.operators import retrieval as R
 from minutario.operators.agreement import kappa
+from minutario.operators.stats import line_outliers
 from minutario.plans.common import ADJUDICATIONS, CANDIDATES, CHUNKS, DECISIONS, REVIEWS, adjudications, candidates, chunks, decisions, label_sql, reviews, rounded, table
 from minutario.plans.evaluation import GOLD_SQL, TIED_SQL, _gold, _status
 from minutario.plans.registry import query
@@ -342,6 +343,23 @@ def e07(spark: SparkSession, folder: str) -> DataFrame:
     return f.where("z or t").select("event_id", F.concat_ws(",", F.when(F.col("z"), "zscore"), F.when(F.col("t"), "iqr")).alias("methods"), (F.col("z").cast("long") + F.col("t").cast("long")).alias("n_methods"))
 
 
+@query("e07_outlier_flags")
+def e07_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """The events that any of the survey's four methods flags, at the survey's defaults."""
+    return outlier_flags(table(spark, folder, "events"), "event_id", "value")
+
+
+def outlier_flags(df: DataFrame, key: str, column: str, z: float = 3.0, k: float = 1.5) -> DataFrame:
+    """(key, methods, n_methods) of the rows flagged by zscore, iqr, lof or mcd over one column."""
+    m = df.agg(F.avg(column).alias("a"), F.stddev_samp(column).alias("s"), F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q1, q3, v = F.col("q")[0], F.col("q")[1], F.col(column)
+    fence = k * (q3 - q1)
+    f = df.select(key, F.col(column).cast("double").alias(column)).crossJoin(F.broadcast(m)).join(line_outliers(df, column), column, "left")
+    tests = {"zscore": F.when(F.col("s") > 0, F.abs(v - F.col("a")) / F.col("s") > z), "iqr": (v < q1 - fence) | (v > q3 + fence), "lof": F.col("lof_flag"), "mcd": F.col("mcd_flag")}
+    f = f.select(key, F.array_compact(F.array(*[F.when(t, n) for n, t in tests.items()])).alias("methods"))
+    return f.where(F.size("methods") > 0).select(key, F.array_join("methods", ",").alias("methods"), F.size("methods").cast("long").alias("n_methods"))
+
+
 @query("q06_disagreements", f"select decision_id, a, b, f, case when f = a then 'gm' when f = b then 'gv' else 'neither' end as side from (select decision_id, {_status('gm')} as a, {_status('gv')} as b, {_status('final')} as f from {ADJUDICATIONS}) where a <> b and f is not null")
 def q06(spark: SparkSession, folder: str) -> DataFrame:
     x = adjudications(spark, folder).select("decision_id", *[plain_label(F.col(c), STATUS_LABELS).alias(n) for n, c in (("a", "gm_status"), ("b", "gv_status"), ("f", "final_status"))])

@@ -192,3 +192,39 @@ def test_evidence_cells_and_citations(spark):
     assert one(spark, S.citation_numbers(F.col("t"), 5), t="a [3, 1] b [9] [1]") == [1, 3]
     assert one(spark, S.href_ids(F.col("t")), t="f.xml#id(a.1)..id(a.4)") == ["a.1", "a.4"]
     assert one(spark, S.bin_low(F.col("t"), 0.05), t=0.15000000000000002) == 0.15
+
+
+def test_outlier_flags_of_four_methods(spark):
+    import numpy as np
+
+    from minutario.operators.stats import line_outliers
+    from minutario.plans.more import outlier_flags
+
+    rng = np.random.default_rng(7)
+    v = np.round(np.r_[rng.normal(0, 1, 150), rng.normal(9, 0.05, 45), [4.5, 4.6, 30.0, 9.0, 9.0]], 2)
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)] + [(900, None)], "k long, v double")
+    got = {r.k: r for r in outlier_flags(df, "k", "v").collect()}
+    assert got[197].methods == "zscore,lof,mcd" or got[197].methods == "zscore,iqr,lof,mcd"
+    assert "lof" in got[195].methods and "zscore" not in got[195].methods
+    assert 900 not in got and max(r.n_methods for r in got.values()) > 2
+
+    x = (v - v.mean()) / v.std()
+    d = np.abs(x[:, None] - x[None])
+    np.fill_diagonal(d, np.inf)
+    near = np.lexsort((np.broadcast_to(x, d.shape), np.round(d, 12)), axis=1)[:, :20]
+    radius = np.take_along_axis(d, near[:, -1:], 1)[:, 0]
+    density = 1 / (np.maximum(np.take_along_axis(d, near, 1), radius[near]).mean(1) + 1e-10)
+    lof = density[near].mean(1) / density
+    h = -(-(len(x) + 2) // 2)
+    s = np.sort(x)
+    width = s[h:] - s[: len(s) - h]
+    at = np.where(np.isclose(width, width.min(), atol=1e-12))[0]
+    centre = (0.5 * (s[h + at] + s[at])).mean()
+    raw = (x - centre) ** 2
+    raw = raw / np.median(raw) * 0.45493642311957283
+    core = x[raw < 5.023886187314888]
+    robust = (x - core.mean()) ** 2 / core.var()
+    by = {r.v: r for r in line_outliers(df, "v").collect()}
+    assert np.allclose([by[float(y)].robust_sq for y in v], robust, rtol=1e-6)
+    assert np.allclose([by[float(y)].lof for y in v], lof, rtol=0.1)  # neighbours at equal distance differ by rounding
+    assert sum(by[float(y)].lof_flag for y in v) == 10

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,3 +75,106 @@ def reciprocal_rank_fusion(channels: list[DataFrame], k: int = 60) -> DataFrame:
     for c in ranked[1:]:
         union = union.unionByName(c)
     return union.groupBy("query", "doc").agg(F.sum(1 / (k + F.col("rank"))).alias("score"))
+
+
+#: Channels of the hybrid retriever and the least number of hits that each channel gives to the fusion.
+RETRIEVAL_MODES = ("bm25", "dense", "hybrid")
+MIN_POOL = 10
+
+
+def hashed_vectors(texts: list[str], size: int = 64) -> np.ndarray:
+    """Counts of hashed words as vectors, a stand-in where no embedding model is given."""
+    import re
+    import zlib
+
+    out = np.zeros((len(texts), size))
+    for row, text in zip(out, texts):
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            row[zlib.crc32(w.encode()) % size] += 1
+    return out
+
+
+def dense_search(documents: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, embed: Callable[[list[str]], np.ndarray] = hashed_vectors, pool: int = MIN_POOL) -> DataFrame:
+    """(query, doc, score, rank): the pool documents of highest cosine for each query among all of them.
+
+    Every document meets every query; each batch keeps its own best pool, of which the best of all are a part. The
+    queries are an evaluation set and go to the tasks with the function. Scores are rounded to 8 places, ties by doc.
+    """
+    asked = queries.select(query_key, query_text).where(F.col(query_text).isNotNull()).toPandas()
+    names = asked[query_key].to_numpy()
+    q_kind, d_kind = queries.schema[query_key].dataType.simpleString(), documents.schema[key].dataType.simpleString()
+
+    def unit(texts: list[str]) -> np.ndarray:
+        x = np.asarray(embed(texts), float)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+    wanted = unit(asked[query_text].tolist()) if len(asked) else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if wanted is None or not len(batch):
+                continue
+            batch = batch.sort_values(key, kind="stable")
+            docs = batch[key].to_numpy()
+            score = np.round(wanted @ unit(batch[text].fillna("").tolist()).T, 8)
+            best = np.argsort(-score, 1, kind="stable")[:, :pool]
+            yield pd.DataFrame({"query": np.repeat(names, best.shape[1]), "doc": docs[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()})
+
+    found = documents.select(key, text).mapInPandas(run, f"query {q_kind}, doc {d_kind}, score double")
+    return top_k(found, pool, "doc")
+
+
+def hybrid(lexical: DataFrame, dense: DataFrame, limit: int, mode: str = "hybrid", rrf_k: int = 60) -> DataFrame:
+    """(query, doc, score, lexical_rank, dense_rank, rank) of scored channels (query, doc, score), fused by reciprocal ranks.
+
+    Each channel gives its max(limit, MIN_POOL) best, the lexical one only those above zero; bm25 and dense leave the
+    other channel out and keep the rest of the rules.
+    """
+    if mode not in RETRIEVAL_MODES:
+        raise ValueError(f"mode must be one of {RETRIEVAL_MODES}, got {mode!r}")
+    pool = max(limit, MIN_POOL)
+    ranked = []
+    for name, scored in (("lexical", lexical.where("score > 0")), ("dense", dense)):
+        if mode in ("hybrid", {"lexical": "bm25"}.get(name, name)):
+            ranked.append(top_k(scored.select("query", "doc", "score"), pool, "doc").select("query", "doc", F.lit(name).alias("channel"), "rank"))
+    both = ranked[0] if len(ranked) == 1 else ranked[0].unionByName(ranked[1])
+    at = lambda n: F.max(F.when(F.col("channel") == n, F.col("rank"))).alias(f"{n}_rank")
+    fused = both.groupBy("query", "doc").agg(F.round(F.sum(1 / (rrf_k + F.col("rank"))), 12).alias("score"), at("lexical"), at("dense"))
+    return top_k(fused, limit, "doc")
+
+
+def word_sequences(text: Column, n: int = 5) -> Column:
+    """The distinct sequences of n words; all words as one where there are fewer."""
+    w = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    many = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return F.when(F.size(w) >= n, F.array_distinct(many)).when(F.size(w) > 0, F.array(F.array_join(w, " ")))
+
+
+def passage_recall(ranked: DataFrame, documents: DataFrame, key: str, text: str, evidence: DataFrame, query_key: str, passage: str, ks: Sequence[int]) -> DataFrame:
+    """(k, n_queries, mean_recall): the share of the five-word sequences of each query's passage in its k best documents.
+
+    Queries for which nothing was found count with a recall of 0.
+    """
+    wanted = evidence.select(F.col(query_key).alias("query"), F.explode(word_sequences(F.col(passage))).alias("gram")).distinct()
+    texts = documents.select(F.col(key).alias("doc"), F.explode(word_sequences(F.col(text))).alias("gram"))
+    found = ranked.where(F.col("rank") <= max(ks)).join(texts, "doc").select("query", "gram", "rank").groupBy("query", "gram").agg(F.min("rank").alias("rank"))
+    hits = wanted.join(found, ["query", "gram"], "left").select("query", "rank", F.explode(F.array(*map(F.lit, sorted(set(ks))))).alias("k"))
+    each = hits.groupBy("k", "query").agg(F.avg(F.when(F.col("rank") <= F.col("k"), 1.0).otherwise(0.0)).alias("recall"))
+    return each.groupBy("k").agg(F.count("*").alias("n_queries"), F.round(F.avg("recall"), 6).alias("mean_recall"))
+
+
+def merged_passages(turns: DataFrame, hits: DataFrame, key: str, group: str, place: str, line: str, context: int, gap: str = "[...]") -> DataFrame:
+    """(key, passage): the lines within context turns of each hit, windows that meet merged, others set apart by gap.
+
+    turns are (group, place, line), hits (key, group, place). Each group of a key is a block headed by its name in
+    brackets; blocks are in order of their names. Hits without a turn give nothing.
+    """
+    t = turns.select(group, place, line).withColumn("_at", F.row_number().over(W.partitionBy(group).orderBy(place)))
+    at = hits.select(key, group, place).distinct().join(t.select(group, place, "_at"), [group, place])
+    kept = at.select(key, group, F.explode(F.sequence(F.col("_at") - context, F.col("_at") + context)).alias("_at")).distinct().join(t.select(group, "_at", line), [group, "_at"])
+    lag = F.lag("_at").over(W.partitionBy(key, group).orderBy("_at"))
+    marked = kept.withColumn("_text", F.when(F.col("_at") > lag + 1, F.concat(F.lit(gap + "\n"), F.col(line))).otherwise(F.col(line)))
+    blocks = marked.groupBy(key, group).agg(F.array_sort(F.collect_list(F.struct("_at", "_text"))).alias("_l"))
+    blocks = blocks.select(key, group, F.concat(F.lit("["), F.col(group), F.lit("]\n"), F.array_join(F.col("_l._text"), "\n")).alias("_b"))
+    return blocks.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.struct(group, "_b"))).getField("_b"), "\n\n").alias("passage"))

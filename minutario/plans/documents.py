@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from minutario.functions import chunking
 from minutario.operators import answering, locate
 from minutario.plans.common import DECISIONS, chunks, decisions, rounded, table
 from minutario.plans.registry import query
+from minutario.session import cut
 from minutario.plans.retrieval import lexical
+from minutario.operators import retrieval as R
 from minutario.operators.retrieval import top_k
 
 
@@ -20,7 +24,7 @@ def r01(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("r13_chunk_grid")
 def r13(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks, their mean size and the share of text they repeat, for a grid of sizes and overlaps."""
+    """Chunks and their mean size for a grid of sizes and overlaps."""
     documents = table(spark, folder, "documents").where("text is not null").select("doc_id", "text")
     cells = None
     for size in (600, 1200):
@@ -41,3 +45,54 @@ def r07(spark: SparkSession, folder: str) -> DataFrame:
     """The five best chunks of each question under a budget of 3,000 characters."""
     top = top_k(lexical(spark, folder), 5, "doc").join(chunks(spark, folder).select(F.col("chunk_id").alias("doc"), "text"), "doc")
     return answering.assembled_contexts(top, 3000)
+
+
+def _channels(pieces: DataFrame, items: DataFrame, pool: int = R.MIN_POOL) -> tuple[DataFrame, DataFrame]:
+    """Both channels over pieces (doc, text), written once as each mode reads them."""
+    lexical = R.bm25(pieces, "doc", "text", items, "item_id", "question").withColumn("score", rounded("score", 8))
+    lexical = cut(top_k(lexical.where("score > 0"), pool, "doc").drop("rank"))
+    return lexical, cut(R.dense_search(pieces, "doc", "text", items, "item_id", "question", pool=pool).drop("rank"))
+
+
+@query("r10_hybrid_modes")
+def r10(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best chunks of each question by mode, with the rank in each channel; vectors are hashed words."""
+    lexical, dense = _channels(chunks(spark, folder).select(F.col("chunk_id").alias("doc"), "text"), table(spark, folder, "eval_items"))
+    return reduce(DataFrame.unionByName, [R.hybrid(lexical, dense, 10, m).withColumn("mode", F.lit(m)) for m in R.RETRIEVAL_MODES])
+
+
+@query("r14_channel_ablation")
+def r14(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean recall of the items' passages by mode and k, over the documents cut at 600 characters."""
+    return retrieval_grid(spark, folder, (600,), (0,), (1, 5, 10), R.RETRIEVAL_MODES)
+
+
+@query("r13_retrieval_grid")
+def r13_retrieval(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean recall of the items' passages by chunk size, overlap and k."""
+    return retrieval_grid(spark, folder, (600, 1200), (0, 100), (1, 5, 10), ("hybrid",))
+
+
+def retrieval_grid(spark: SparkSession, folder: str, sizes: tuple, overlaps: tuple, ks: tuple, modes: tuple) -> DataFrame:
+    """(size, overlap, mode, k, n_queries, mean_recall, n_chunks): chunks and channels are made once for each size and overlap."""
+    documents, items = table(spark, folder, "documents").where("text is not null").select("doc_id", "text").distinct(), table(spark, folder, "eval_items")
+    cells = []
+    for size in sizes:
+        for overlap in overlaps:
+            pieces = chunking.chunked(documents, "doc_id", "text", size, overlap)
+            pieces = cut(pieces.select(F.col("chunk_id").alias("doc"), "text"))
+            lexical, dense = _channels(pieces, items, max(R.MIN_POOL, *ks))
+            n = pieces.agg(F.count("*").alias("n_chunks"))
+            for mode in modes:
+                scores = R.passage_recall(R.hybrid(lexical, dense, max(ks), mode), pieces, "doc", "text", items, "item_id", "passage", ks)
+                cells.append(scores.crossJoin(F.broadcast(n)).select(F.lit(size).alias("size"), F.lit(overlap).alias("overlap"), F.lit(mode).alias("mode"), "k", "n_queries", "mean_recall", "n_chunks"))
+    return reduce(DataFrame.unionByName, cells)
+
+
+@query("r15_merged_passages")
+def r15_merged(spark: SparkSession, folder: str) -> DataFrame:
+    """Each series' chunks that name a sensor with one chunk on either side, as one text."""
+    place = F.expr("try_cast(regexp_extract(chunk_id, 'c([0-9]+)$', 1) as int)")
+    turns = chunks(spark, folder).where("text is not null").select("series_id", "meeting_id", place.alias("place"), "chunk_id", "text").where("place is not null")
+    turns = turns.withColumn("place", F.struct("place", "chunk_id"))
+    return R.merged_passages(turns, turns.where(F.lower("text").contains("sensor")), "series_id", "meeting_id", "place", "text", 1)

@@ -228,3 +228,28 @@ def test_outlier_flags_of_four_methods(spark):
     assert np.allclose([by[float(y)].robust_sq for y in v], robust, rtol=1e-6)
     assert np.allclose([by[float(y)].lof for y in v], lof, rtol=0.1)  # neighbours at equal distance differ by rounding
     assert sum(by[float(y)].lof_flag for y in v) == 10
+
+
+def test_hybrid_modes_dense_search_and_passage_recall(spark):
+    docs = spark.createDataFrame([("a", "red lamp on the long wooden table"), ("b", "blue lamp under a chair"), ("c", "nothing of this kind"), ("d", None)], "doc string, text string")
+    asked = spark.createDataFrame([(1, "wooden table"), (2, None)], "q long, t string")
+    dense = retrieval.dense_search(docs, "doc", "text", asked, "q", "t", lambda texts: [[t.count("table"), t.count("lamp"), 0.0] for t in texts])
+    assert [(r.doc, r.score) for r in dense.orderBy("rank").collect()] == [("a", 0.70710678), ("b", 0.0), ("c", 0.0), ("d", 0.0)]
+    lexical = spark.createDataFrame([(1, "b", 2.0), (1, "a", 1.0), (1, "c", -1.0)], "query long, doc string, score double")
+    rows = {m: [(r.doc, r.lexical_rank, r.dense_rank) for r in retrieval.hybrid(lexical, dense.drop("rank"), 3, m).orderBy("rank").collect()] for m in retrieval.RETRIEVAL_MODES}
+    assert rows["hybrid"] == [("a", 2, 1), ("b", 1, 2), ("c", None, 3)]
+    assert rows["bm25"] == [("b", 1, None), ("a", 2, None)]
+    assert rows["dense"] == [("a", None, 1), ("b", None, 2), ("c", None, 3)]
+    with pytest.raises(ValueError):
+        retrieval.hybrid(lexical, lexical, 3, "other")
+    gold = spark.createDataFrame([(1, "lamp on the long wooden table today"), (2, "never retrieved at all by it")], "q long, p string")
+    got = retrieval.passage_recall(retrieval.hybrid(lexical, dense.drop("rank"), 3, "bm25"), docs, "doc", "text", gold, "q", "p", (1, 2))
+    assert {(r.k, r.n_queries, r.mean_recall) for r in got.collect()} == {(1, 2, 0.0), (2, 2, 0.333333)}
+
+
+def test_merged_passages_join_windows_that_meet_and_mark_gaps(spark):
+    turns = spark.createDataFrame([(m, i, f"A: {m}{i}") for m in ("m1", "m2") for i in range(10)], "m string, i int, line string")
+    hits = spark.createDataFrame([("x", "m1", 0), ("x", "m1", 3), ("x", "m1", 8), ("x", "m2", 5), ("y", "m2", 99)], "k string, m string, i int")
+    got = retrieval.merged_passages(turns, hits, "k", "m", "i", "line", 1).collect()
+    lines = lambda m, *at: "\n".join(f"A: {m}{i}" for i in at)
+    assert [(r.k, r.passage) for r in got] == [("x", f"[m1]\n{lines('m1', 0, 1, 2, 3, 4)}\n[...]\n{lines('m1', 7, 8, 9)}\n\n[m2]\n{lines('m2', 4, 5, 6)}")]

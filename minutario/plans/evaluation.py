@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from minutario.functions import scalar as S
 from minutario.functions.text import plain_label
-from minutario.operators import budget, intervals, power, sampling, stats
+from minutario.operators import budget, intervals, power, runs, sampling, stats
 from minutario.operators.agreement import precision_recall_f1
 from minutario.plans.common import ADJUDICATIONS, CANDIDATES, CHUNKS, DECISIONS, REVIEWS, adjudications, candidates, chunks, decisions, label_sql, reviews, rounded, table
 from minutario.plans.registry import query
@@ -223,6 +223,20 @@ def j36(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("meeting_id", F.coalesce("a", F.lit(0)).alias("n_decisions"), F.coalesce("b", F.lit(0)).alias("n_adjudicated"), F.col("a").eqNullSafe(F.col("b")).alias("equal"))
 
 
+@query("j36_same_ids_in_order", f"with a as (select meeting_id, list(decision_id order by decision_id) as x from {DECISIONS} group by 1), b as (select meeting_id, list(decision_id order by decision_id) as x from {ADJUDICATIONS} group by 1) select coalesce(a.meeting_id, b.meeting_id) as meeting_id, coalesce(a.x = b.x, false) as equal from a full join b on a.meeting_id = b.meeting_id")
+def j36_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether a meeting's decisions and adjudications are the same ids in the same order."""
+    a, b = (x(spark, folder).select("meeting_id", "decision_id", F.col("decision_id").alias("place")) for x in (decisions, adjudications))
+    return runs.same_order(a, b, "meeting_id", "decision_id", "place").select("meeting_id", "equal")
+
+
+@query("l05_best_passages")
+def l05(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of each decision's evidence that say most of its sentence; the evidence's parts are its lines."""
+    d = decisions(spark, folder).select("decision_id", "sentence_text", F.regexp_replace("evidence_text", r" \| ", "\n").alias("source"))
+    return runs.best_passages(d, "decision_id", "sentence_text", "source")
+
+
 @query("u09_set_operations", "select 'union' as op, count(*) as n from (select user_id from events where event_type = 'click' union select user_id from events where event_type = 'purchase') union all select 'intersect', count(*) from (select user_id from events where event_type = 'click' intersect select user_id from events where event_type = 'purchase') union all select 'except', count(*) from (select user_id from events where event_type = 'click' except select user_id from events where event_type = 'purchase')")
 def u09(spark: SparkSession, folder: str) -> DataFrame:
     own = lambda t: table(spark, folder, "events").where(F.col("event_type") == t).select("user_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from minutario.functions import chunking
 from minutario.operators import answering, locate
-from minutario.plans.common import DECISIONS, chunks, decisions, rounded, table
+from minutario.plans.common import DECISIONS, chunks, decisions, reviews, rounded, table
 from minutario.plans.registry import query
 from minutario.session import cut
 from minutario.plans.retrieval import lexical
@@ -40,6 +40,18 @@ def j26(spark: SparkSession, folder: str) -> DataFrame:
     return locate.located(d, "decision_id", "evidence_text", "quote").select("decision_id", (F.col("start") >= 0).alias("found"))
 
 
+@query("j26_sentence_in_evidence")
+def j26_sentence(spark: SparkSession, folder: str) -> DataFrame:
+    """Where each decision's whole sentence stands in its evidence, first place and number of places; (-1, -1, 0) where it doesn't."""
+    return locate.located(decisions(spark, folder), "decision_id", "evidence_text", "sentence_text")
+
+
+@query("j26_reference_in_answer")
+def j26_reference(spark: SparkSession, folder: str) -> DataFrame:
+    """Where each question's whole reference answer stands in the answer given."""
+    return locate.located(reviews(spark, folder), "pregunta_id", "respuesta_c2", "respuesta_referencia")
+
+
 @query("r07_contexts")
 def r07(spark: SparkSession, folder: str) -> DataFrame:
     """The five best chunks of each question under a budget of 3,000 characters."""

@@ -110,3 +110,28 @@ def test_samples_don_t_depend_on_partitioning(spark):
     assert sampling.quota({"x": 3, "y": 50}, 20, {"x": 0.5, "y": 0.5}) == {"x": 3, "y": 17}
     screen = spark.createDataFrame([("a", 3.0, 1.0, False), ("b", 2.0, 1.0, True), ("c", 1.0, -1.0, False), ("d", 0.5, 0.1, False)], "n string, g double, u double, v boolean")
     assert {r.n for r in sampling.halving(screen, "n", "g", "u", "v").collect()} == {"a", "d"}
+
+
+def test_located_quotes_against_brute_force(spark):
+    from minutario.operators.locate import located
+
+    data = [("a", "Él abrió la caja. ÉL  ABRIÓ la caja.", "él abrió la caja"), ("b", "short", "short"), ("c", None, "x"), ("d", "aaa", "aa"), ("e", "one two", "three"), ("f", "one", None), ("g", "x  straße y", "STRASSE")]
+
+    def brute(text, quote):
+        fold = lambda t: " ".join(t.casefold().split())
+        spans = [(i, j) for i in range(len(text)) for j in range(i + 1, len(text) + 1) if fold(text[i:j]) == fold(quote) and text[i:j] == text[i:j].strip()]
+        return (*spans[0], len({i for i, _ in spans})) if spans else (-1, -1, 0)
+
+    df = spark.createDataFrame(data, "k string, t string, q string")
+    got = {r.k: (r.start, r.end, r.occurrences) for r in located(df, "k", "t", "q").collect()}
+    assert got == {k: brute(t, q) if t and q else (-1, -1, 0) for k, t, q in data}
+    assert got["a"] == (0, 16, 2) and got["d"] == (0, 2, 2)
+
+
+def test_every_decision_has_its_sentence_located(spark, folder):
+    from minutario.plans.common import decisions
+    from minutario.plans.registry import queries
+
+    got = queries()["j26_sentence_in_evidence"](spark, folder)
+    assert got.count() == decisions(spark, folder).count()
+    assert set(got.columns) == {"decision_id", "start", "end", "occurrences"}

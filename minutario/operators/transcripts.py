@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,3 +52,14 @@ def primary_role(act_roles: DataFrame, key: str) -> DataFrame:
     """(key, role): the most frequent role among (key, role, position), the earlier one on a tie."""
     counts = act_roles.groupBy(key, "role").agg(F.count("*").alias("n"), F.min("position").alias("p"))
     return counts.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("n"), "p", "role")).alias("b")).select(key, F.col("b.role").alias("role"))
+
+
+def found_turns(turns: DataFrame, text: str, place: str, term: str | None = None, places: tuple[int, int] | None = None) -> DataFrame:
+    """Turns whose text holds the term in any case, within an inclusive range of places if one is given; all turns without either."""
+    found = turns if term is None else turns.where(F.contains(F.lower(text), F.lower(F.lit(term))))
+    return found if places is None else found.where(F.col(place).between(*places))
+
+
+def turns_with_acts(turns: DataFrame, acts: str, wanted: Sequence[str]) -> DataFrame:
+    """Turns whose array of acts has any of those wanted."""
+    return turns.where(F.arrays_overlap(acts, F.array(*map(F.lit, wanted)).cast("array<string>")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from minutario.functions import scalar as S
 from minutario.functions.text import plain_label
-from minutario.operators import intervals
+from minutario.operators import intervals, transcripts
 from minutario.operators import retrieval as R
 from minutario.operators.agreement import kappa
 from minutario.operators.stats import line_outliers
@@ -45,6 +45,19 @@ def p13(spark: SparkSession, folder: str) -> DataFrame:
     return chunks(spark, folder).where(F.lower("text").contains("sensor") & F.col("char_start").between(0, 5000)).select("chunk_id")
 
 
+@query("p13_term_search", f"select chunk_id from {CHUNKS} where contains(lower(text), 'sensor')")
+def p13_all(spark: SparkSession, folder: str) -> DataFrame:
+    """All chunks that name a sensor, wherever they begin."""
+    return transcripts.found_turns(chunks(spark, folder), "text", "char_start", "Sensor").select("chunk_id")
+
+
+@query("p14_with_flags", f"select decision_id from {DECISIONS} where list_has_any(string_split(machine_flags, ';'), ['sin_evidencia', 'posible_compuesta'])")
+def p14(spark: SparkSession, folder: str) -> DataFrame:
+    """The test on the tables' one list of codes, the flags of a decision."""
+    flags = decisions(spark, folder).withColumn("flags", F.split("machine_flags", ";"))
+    return transcripts.turns_with_acts(flags, "flags", ["sin_evidencia", "posible_compuesta"]).select("decision_id")
+
+
 QUESTION_RULES = [("no_reference", "coalesce(trim(respuesta_referencia), '') = '' and stratum not like 'E4%'"), ("reference_unwanted", "coalesce(trim(respuesta_referencia), '') <> '' and stratum like 'E4%'"), ("no_mark", "not regexp_matches(pregunta, '\\?\\s*$')"), ("odd_id", "not regexp_matches(pregunta_id, '^[A-Z]+[0-9]+\\.q[0-9]+$')")]
 
 

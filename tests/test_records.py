@@ -135,3 +135,15 @@ def test_every_decision_has_its_sentence_located(spark, folder):
     got = queries()["j26_sentence_in_evidence"](spark, folder)
     assert got.count() == decisions(spark, folder).count()
     assert set(got.columns) == {"decision_id", "start", "end", "occurrences"}
+
+
+def test_turn_search_reaches_late_turns_and_acts_are_tested(spark):
+    from minutario.operators.transcripts import found_turns, turns_with_acts
+
+    t = spark.createDataFrame([(1, "a Sensor", 10, ["x"]), (2, "the sensor", 35615, ["y", "z"]), (3, "no", 20, []), (4, "sensor", None, None)], "k int, text string, at int, acts array<string>")
+    keys = lambda df: {r.k for r in df.collect()}
+    assert keys(found_turns(t, "text", "at", "SENSOR")) == {1, 2, 4}
+    assert keys(found_turns(t, "text", "at", "sensor", (0, 5000))) == {1}
+    assert keys(found_turns(t, "text", "at", None, (10, 20))) == {1, 3}
+    assert keys(turns_with_acts(t, "acts", ["z", "q"])) == {2}
+    assert keys(turns_with_acts(t, "acts", [])) == set()

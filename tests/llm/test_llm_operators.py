@@ -390,7 +390,7 @@ def test_residue_groups_decide_for_messages_and_fields_that_no_rule_lists(spark)
     """Made-up messages of no listed wording: reworded by a name, over sources; content that begins alike is longer."""
     made = [(f"We hit a snag while opening the folder. Mail {w} for help.", f"s{k % 12}") for k, w in enumerate(f"Name{chr(97 + n)}" for n in range(24))]
     long = [("We met again on Monday. " + f"Item {chr(97 + k)} was read and discussed at length by everyone " * 6, f"s{k % 12}") for k in range(24)]
-    fields = [(f"The {a}venue{b} for week {k} is fixed.", f"s{k % 3}") for k, (a, b) in enumerate([("<", ">"), ("[", "]"), ("{", "}")] * 4)]
+    fields = [(f"The {a}venue{b} for week {k} is fixed.", f"s{k // 3}") for k, (a, b) in enumerate([("<", ">"), ("[", "]"), ("{", "}")] * 4)]
     single = [(f"The <comfort> of week {k} is fixed.", f"s{k % 3}") for k in range(6)]
     rows = [(n, t, s) for n, (t, s) in enumerate(made + long + fields + single)]
     got = {r.doc_id: r.reason for r in residue.residue_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}

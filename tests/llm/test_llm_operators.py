@@ -188,30 +188,58 @@ def test_pieces_of_null_empty_and_unknown_start(spark):
 # Answers
 
 
-@pytest.mark.parametrize(
-    ("answer", "prompt", "stratum", "wanted"),
-    [
-        (None, "Who?", "E1", "empty"), (" … ", "Who?", "E1", "empty"), ("(none)", "Who?", "E4", "empty"), ("N/A", "Who?", "E1", "empty"),
-        ("I don’t know", "Who has to review it?", "E1", "refusal"), ("I don't know", "Who has to review it?", "E4_unanswerable", None),
-        ("No lo sé.", "¿Quién debe revisar el menú?", "E2", "refusal"),
-        ("Answer: Who has to drop the dial", "Who has to drop the dial?", "E1", "copy"),
-        ("WHO HAS TO DROP THE DIAL?", "Who has to drop the dial?", "E1", "copy"),
-        ("Who has to drop the dial: The team.", "Who has to drop the dial?", "E1", None),
-        ("The team", "Who has to drop the dial?", "E1", None), ("- dial\n- menu\n- felt", "Which?", "E1", None),
-        ("It was dropped because the", "Why was the dial dropped?", "E1", "truncated"),
-        ("It was dropped because of dust. [2]", "Why was the dial dropped?", "E1", None),
-        ("It was dropped because of dust…", "Why was the dial dropped?", "E1", "truncated"),
-        ("Se descartó porque el equipo decidió que faltaba tiempo.", "Why was the dial dropped by the team?", "E1", "language"),
-        ("The team chose «el menú de la casa» for the wall.", "Which menu did the team choose?", "E1", None),
-    ],
-)
-def test_defects(answer, prompt, stratum, wanted):
-    assert answers.defect(answer, prompt, stratum, None) == wanted
-
-
-def test_bare_answer_is_cut_off_where_its_last_word_never_ends_a_text():
-    assert answers.is_truncated("A price of", "What price was set?", 0.0)
-    assert not answers.is_truncated("Dust and noise", "Why?", 0.3)
+ANSWERS = [
+    (None, "Who?", "E1", "empty"), (" … ", "Who?", "E1", "empty"), ("(none)", "Who?", "E4", "empty"), ("N/A", "Who?", "E1", "empty"),
+    ("I don’t know", "Who has to review it?", "E1", "refusal"), ("I don't know", "Who has to review it?", "E4_unanswerable", None),
+    ("No lo sé.", "¿Quién debe revisar el menú?", "E2", "refusal"),
+    ("Answer: Who has to drop the dial", "Who has to drop the dial?", "E1", "copy"),
+    ("WHO HAS TO DROP THE DIAL?", "Who has to drop the dial?", "E1", "copy"),
+    ("Who has to drop the dial: The team.", "Who has to drop the dial?", "E1", None),
+    ("The team", "Who has to drop the dial?", "E1", None), ("- dial\n- menu\n- felt", "Which?", "E1", None),
+    ("It was dropped because the", "Why was the dial dropped?", "E1", "truncated"),
+    ("It was dropped because of dust. [2]", "Why was the dial dropped?", "E1", None),
+    ("It was dropped because of dust…", "Why was the dial dropped?", "E1", "truncated"),
+    ("Se descartó porque el equipo decidió que faltaba tiempo.", "Why was the dial dropped by the team?", "E1", "language"),
+    ("The team chose «el menú de la casa» for the wall.", "Which menu did the team choose?", "E1", None),
+]
+REVIEWS = "pregunta_id string, stratum string, pregunta string, respuesta_referencia string, respuesta_c2 string, ingested_at timestamp"
+
+
+def reviews(spark, rows_):
+    """Rows (id, stratum, prompt, reference, answer) beside sound ones in two languages to learn from."""
+    sound = [(f"e{i}", "E1", "Who has to test the steel dial of the team?", "The team noted that steel beats cork, for heat was not on the list.", "That falls to the team.") for i in range(9)]
+    sound += [(f"s{i}", "E1", "¿Quién debe probar el mando de la sala?", "El equipo dijo que la madera gana por el calor de la sala.", "Lo debe probar el equipo.") for i in range(9)]
+    return spark.createDataFrame([(*r, datetime(2024, 1, 1)) for r in [*sound, *rows_]], REVIEWS)
+
+
+def test_defects(spark):
+    df = reviews(spark, [(f"q{n}", stratum, prompt, None, answer) for n, (answer, prompt, stratum, _) in enumerate(ANSWERS)])
+    assert dict(rows(answers.defective_answers(df))) == {f"q{n}": wanted for n, (*_, wanted) in enumerate(ANSWERS) if wanted}
+
+
+def test_copies_are_decided_by_compression():
+    prompt = "Which material did the team choose for the dial by Cofagus?"
+    assert answers.is_copy("Answer: " + prompt, prompt) and answers.is_copy(prompt + " " + prompt, prompt)
+    assert not answers.is_copy(prompt + " Oak.", prompt)  # three bytes of its own
+    assert not answers.is_copy("Cofagus", prompt) and not answers.is_copy("", prompt) and not answers.is_copy(prompt, "")
+
+
+def test_terminal_contexts_tell_bare_answers_from_cut_ones(spark):
+    """The model alone tells them: the same three words end no text where the references go on."""
+    texts = [(f"r{i}", "E1", "What was set?", "A price of ten euros was set for it." if i else "Dust and noise", None) for i in range(30)]
+    got = rows(answers.defective_answers(reviews(spark, [*texts, ("x", "E1", "What was set?", None, "A price of"), ("y", "E1", "Why?", None, "Dust and noise")])))
+    assert {r for r in got if r[0] in "xy"} == {("x", "truncated")}
+    assert answers.last_context("It was set (see the list).") == ("close", "list", 4)
+    assert answers.last_context("It was set. The list") == ("word", "list", 6) and answers.last_context("Why was it? The list") == ("word", "list", 2)
+    assert answers.last_context("It was set. [2, 3]")[0] == "close" and answers.last_context("") == ("mark", "", 0)
+
+
+def test_shapes_given_where_declining_is_right_are_refusals(spark):
+    """A made-up way to decline that no dictionary lists is learnt from the stratum where it is right."""
+    made = [(f"r{i}", "E4_unanswerable" if i < 60 else "E1", "Who has to go?", None, f"Beyond my remit is Name{chr(97 + i % 26)}.") for i in range(90)]
+    other = [(f"o{i}", "E4_unanswerable" if i < 9 else "E1", "Who has to go?", None, f"That would be Name{chr(97 + i % 26)}.") for i in range(300)]
+    got = rows(answers.defective_answers(reviews(spark, made + other)))
+    assert got == {(f"r{i}", "refusal") for i in range(60, 90)}
 
 
 def test_defective_answers_table(spark):

@@ -171,16 +171,16 @@ def contexts(text: str) -> Iterator[tuple[str, str, int, bool]]:
     at the end don't count.
     """
     tokens = _TOKEN.findall(_SOURCES.sub("", text.strip()))
-    word, run, kind, later = "", 0, "mark", 0
+    word, run, kind, later, ended = "", 0, "mark", 0, ""
     for n, token in enumerate(tokens):
         if token[0].isalnum() or token in "%€$£":
             if kind in ("close", "ellipsis"):
-                run = 0
+                run, later = 0, 0 if ended == "?" else 4
             kind, word, run = "word", token.lower() if token[0].isalpha() else "0", min(run + 1, 4)
         elif token in ("…", "..", "...") or token.startswith(".."):
             kind = "ellipsis"
         elif token in ".!?":
-            kind, later = "close", 0 if token == "?" else 4
+            kind, ended = "close", token
         elif token in _CLOSERS and kind != "mark":
             pass
         elif token in ":\n":

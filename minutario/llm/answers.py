@@ -69,6 +69,8 @@ def _refusal_pattern() -> str:
 
 
 _REFUSAL = re.compile(_refusal_pattern())
+#: Every way of the dictionary to decline has one of these words: a sentence without any is not searched.
+_SIGNS = set(f"{DENIAL['en']} {DENIAL['es']} cannot t unable decline abstain refuse prefiero preferimos preferiria declinar abstengo sin without insufficient lacking missing insuficiente insuficientes falta ai model modelo assistant asistente ia inteligencia desconozco ignoro".split())
 #: A shape of whole answers is a refusal where declining is right so much more often than answers are there, the lower
 #: end of its share's interval of SHAPE_Z standard errors taken.
 SHAPE_LIFT, SHAPE_Z = 2.0, 4.0
@@ -114,7 +116,8 @@ def is_empty(answer: str | None) -> bool:
 
 def is_refusal(answer: str) -> bool:
     """Some sentence declines by the refusal dictionary."""
-    return any(_REFUSAL.search(" ".join(plain_words(s))) for s in re.split(r"[.!?]+(?:\s|$)", answer))
+    sentences = (plain_words(s) for s in re.split(r"[.!?]+(?:\s|$)", answer))
+    return any(not _SIGNS.isdisjoint(words) and _REFUSAL.search(" ".join(words)) is not None for words in sentences)
 
 
 def answer_shape(answer: str) -> str:
@@ -222,13 +225,16 @@ def _language_words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(words, lambda w, n: (n == 0) | (w == F.lower(w)) | (w == F.upper(w))), lambda w: F.lower(w)))
 
 
-def _seed_language(words: Column) -> Column:
-    """The place of the language with most function words among the words, if at least TEACHING and more than any other."""
-    scores = [F.size(F.array_intersect(words, F.array(*map(F.lit, sorted(set(FUNCTION_WORDS[code].split())))))) for code in LANGUAGES]
-    best = F.greatest(*scores)
-    unique = sum(((s == best).cast("int") for s in scores), F.lit(0)) == 1
-    place = F.coalesce(*[F.when(s == best, n) for n, s in enumerate(scores)])
-    return F.when((best >= TEACHING) & unique, place)
+def _seed_languages(texts: DataFrame) -> DataFrame:
+    """(words, lang): the place of the language with most function words in words, TEACHING at least and more than any other."""
+
+    def among(own: list[str]) -> Column:
+        return F.size(F.filter("words", lambda w: w.isin(own)))
+
+    scores = [among(sorted(set(own.split()))) for own in FUNCTION_WORDS.values()]
+    scored = texts.where(F.size("words") >= TEACHING).select("words", F.array(*scores).alias("scores")).withColumn("best", F.array_max("scores"))
+    told = scored.where((F.col("best") >= TEACHING) & (F.size(F.array_remove("scores", F.col("best"))) == len(LANGUAGES) - 1))
+    return told.select("words", (F.array_position("scores", F.col("best")) - 1).cast("int").alias("lang"))
 
 
 def language_dictionaries(texts: DataFrame) -> DataFrame:
@@ -236,8 +242,7 @@ def language_dictionaries(texts: DataFrame) -> DataFrame:
 
     texts: words, an array. A word that a language's texts lack gets that language's floor.
     """
-    told = texts.select("words", _seed_language(F.col("words")).alias("lang")).where("lang is not null")
-    each = told.select("lang", F.explode("words").alias("word"))
+    each = _seed_languages(texts).select("lang", F.explode("words").alias("word"))
     per = [F.sum((F.col("lang") == n).cast("long")) for n in range(len(LANGUAGES))]
     counts = each.groupBy("word").agg(F.array(*per).alias("counts"))
     totals = counts.agg(F.array(*[F.sum(F.col("counts")[n]) for n in range(len(LANGUAGES))]).alias("totals"), F.count("*").alias("words"))

@@ -18,11 +18,14 @@ from minutario.versions import latest
 #: A word in more than this share of the texts counts as common and gets COMMON_WEIGHT in the sketches. At most
 #: (mean number of words) / COMMON_SHARE words can be common, whatever the number of texts.
 COMMON_SHARE, COMMON_WEIGHT = 0.02, 0.25
-#: A hash function fills BUCKETS registers; a band key takes the registers of REPEATS functions.
-BUCKETS, REPEATS, BANDS = 2, 3, 96
+#: A hash function deals the words to BUCKETS registers, which make one band; BANDS functions. A pair of weighted
+#: similarity s shares a band with a probability of 1 - (1 - s^5)^56.
+BUCKETS, BANDS = 5, 56
 #: Registers of the short signature that travels with a band key, eight bits each.
 SIGNATURE = 24
 MANTISSA_BITS = 10
+#: Members of a part of a large group whose pairs are written out.
+PAIR_PART = 1000
 #: Pairs go on when their estimated weighted similarity is at least this. Sets with a plain similarity of 0.7 have a
 #: weighted one of 0.37 at the worst, 0.55 and more as measured; 24 registers estimate it with a deviation of 0.1.
 LEAST_ESTIMATE = 0.15
@@ -75,14 +78,14 @@ def _band_rows(batches: Iterator[pa.RecordBatch], common_hashes: np.ndarray, ban
             vocabulary, codes = np.unique(flat, return_inverse=True)
             starts = (offsets[:-1] - offsets[0]).astype(np.int64)
             common = np.isin(vocabulary, common_hashes)
-            functions = SIGNATURE // BUCKETS
-            short = sketch(codes, vocabulary, common, starts, range(functions))
+            functions = -(-SIGNATURE // BUCKETS)
+            short = sketch(codes, vocabulary, common, starts, range(functions))[:SIGNATURE]
             # Eight bits of a register: three of the zeros' count, five of the mantissa.
             low = (((short >> np.uint16(MANTISSA_BITS)) & np.uint16(7)) << np.uint16(5)) | ((short >> np.uint16(MANTISSA_BITS - 5)) & np.uint16(31))
             low[short == 0] = 0
             signature = np.ascontiguousarray(low.astype(np.uint8).T).view(np.int64).reshape(len(ids), SIGNATURE // 8)
             for band in range(bands):
-                regs = sketch(codes, vocabulary, common, starts, range(functions + band * REPEATS, functions + (band + 1) * REPEATS))
+                regs = sketch(codes, vocabulary, common, starts, range(functions + band, functions + band + 1))
                 key = np.full(len(ids), np.uint64(band + 1))
                 for r in regs:
                     key = _mixed(key * np.uint64(0x100000001B3) + r.astype(np.uint64), 0)
@@ -137,18 +140,20 @@ def near_duplicate_groups(records: DataFrame, key: str, words: str, threshold: f
     group holds all classes linked directly or through others, a class without links is its own group. Null word
     arrays and small sets don't take part; repeated keys with one set count once; no records give no rows.
 
-    Sketches of REPEATS * BUCKETS * BANDS registers are banded; inside a bucket the corrected estimate over a short
-    signature picks the pairs that are verified exactly. A pair shares some band with a probability of 93 % at a
+    class_id and group_id are the least keys of the class and the group, so they don't depend on the partitioning.
+
+    Sketches of BUCKETS * BANDS registers are banded; inside a bucket the corrected estimate over a short
+    signature picks the pairs that are verified exactly. A pair shares some band with a probability of 94 % at a
     weighted similarity of 0.55 (the lowest thousandth of the links in the test data), 99.3 % at 0.61 (the lowest
-    hundredth) and 99.99 % at 0.68. Buckets above a block's size first give links to their first row and their
+    hundredth) and 99.98 % at 0.68. Buckets above a block's size first give links to their first row and their
     neighbours; only rows outside such a bucket's largest component are then compared with all of its blocks, so a
     group of near copies with a third of all rows costs time in proportion to its size.
     """
     own = records.where(F.size(words) >= least_words).select(F.col(key).alias("key"), F.col(words).alias("text_words"))
     marked = own.withColumn("mark", F.md5(F.concat_ws(" ", "text_words")))
-    classes = marked.groupBy("mark").agg(F.first("text_words").alias("w"))
+    classes = marked.groupBy("mark").agg(F.first("text_words").alias("w"), F.min("key").alias("least"))
     hashed = F.transform("w", lambda x: F.xxhash64(x))
-    classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "mark", hashed.alias("words")))
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "mark", "least", hashed.alias("words")))
 
     total = classes.count()
     counts = classes.select(F.explode("words").alias("word")).groupBy("word").count()
@@ -166,8 +171,9 @@ def near_duplicate_groups(records: DataFrame, key: str, words: str, threshold: f
         tree = cut(tree)
         links = links.unionByName(_links_between_components(hot, banded, tree, sets, threshold))
         tree = connected_components(cut(links), "a", "b")
-    grouped = classes.select("id", "mark").join(tree.withColumnRenamed("node", "id"), "id", "left")
-    return marked.join(grouped, "mark").select(F.col("key").alias(key), F.col("id").alias("class_id"), F.coalesce("root", "id").alias("group_id")).distinct()
+    grouped = classes.select("id", "mark", "least").join(tree.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = grouped.groupBy("root").agg(F.min("least").alias("group_id"))
+    return marked.join(grouped.join(least, "root"), "mark").select(F.col("key").alias(key), F.col("least").alias("class_id"), "group_id").distinct()
 
 
 def _links_between_components(hot: DataFrame, banded, tree: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -190,7 +196,15 @@ def decision_word_sets(decisions: DataFrame) -> DataFrame:
 
 
 def pairs_in_groups(groups: DataFrame, key: str, group: str) -> DataFrame:
-    """Every unordered pair of keys of one group, the smaller key first. Its size is that of the answer asked for."""
-    left = groups.select(F.col(group).alias("g"), F.col(key).alias("l"))
-    right = groups.select(F.col(group).alias("g"), F.col(key).alias("r"))
-    return left.join(right, "g").where("l < r").select(F.col("l").alias(f"{key}_a"), F.col("r").alias(f"{key}_b")).distinct()
+    """Every unordered pair of keys of one group, the smaller key first. Its size is that of the answer asked for.
+
+    Large groups are dealt to parts of about PAIR_PART members, each pair of parts being a join key of its own, so a
+    group with a third of all rows is spread over the tasks.
+    """
+    own = groups.select(F.col(group).alias("g"), F.col(key).alias("id")).distinct()
+    parts = own.groupBy("g").agg(F.ceil(F.count("*") / PAIR_PART).cast("int").alias("parts"))
+    dealt = own.join(parts.where("g is not null"), "g").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    left = dealt.select("g", F.col("id").alias("l"), F.col("part").alias("low"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("high"))
+    right = dealt.select("g", F.col("id").alias("r"), F.col("part").alias("high"), F.explode(F.sequence(F.lit(0), "part")).alias("low"))
+    both = left.join(right, ["g", "low", "high"]).where("low < high or l < r")
+    return both.select(F.least("l", "r").alias(f"{key}_a"), F.greatest("l", "r").alias(f"{key}_b"))

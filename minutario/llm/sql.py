@@ -26,7 +26,7 @@ def _held(table: str, key: str, columns: list[str]) -> str:
     return f"select {key}, {', '.join(columns)} from {table} where {key} is not null qualify row_number() over (partition by {key} order by {order}) = 1"
 
 
-P1_FOUND = f"""
+_P1 = f"""
 with recursive held as ({_held("decisions", "decision_id", ["sentence_text", "decision_content"])}),
 sets as (
   select decision_id, list_sort(list_distinct(regexp_extract_all(strip_accents(lower(coalesce(sentence_text, '') || ' ' || coalesce(decision_content, ''))), '[a-z0-9]+'))) as w from held
@@ -46,11 +46,18 @@ linked as (
 links as (select x, y from linked union all select y, x from linked),
 reach(x, y) as (select id, id from classes union select r.x, l.y from reach r join links l on r.y = l.x),
 roots as (select x, min(y) as root from reach group by x),
-members as (select s.decision_id, r.root from sets s join classes c using (w) join roots r on r.x = c.id)
-select a.decision_id as decision_id_a, b.decision_id as decision_id_b
-from members a join members b on a.root = b.root and a.decision_id < b.decision_id
+members as (select s.decision_id, c.id as class_id, r.root as group_id from sets s join classes c using (w) join roots r on r.x = c.id)
 """
 
+P1_GROUPS = _P1 + "select decision_id, class_id, group_id from members"
+
+P1_FOUND = (
+    _P1
+    + """select a.decision_id as decision_id_a, b.decision_id as decision_id_b
+from members a join members b on a.group_id = b.group_id and a.decision_id < b.decision_id
+"""
+)
+
 P2_FOUND = f"""
 with held as ({_held("candidates", "pair_id", ["earlier_decision_id", "later_decision_id", "earlier_text", "later_text"])}),
 sides as (
@@ -122,9 +129,9 @@ P6_AGREEMENT = (
     + _alpha("candidates", "pair_id", [f"{p}_relation" for p in ("gm", "gv", "ka", "lo", "nb")], "final_relation", RELATION_LABELS)
 )
 
-#: No SQL for the rest: p5 and p9 use rules beyond SQL's patterns, p6_found and p7 are iterative, p1_groups and p4_pieces
-#: are the rows behind p1_found and p4_found. Tests hold them against brute force.
+#: No SQL for the rest: p5 and p9 use rules beyond SQL's patterns, p6_found and p7 are iterative, p4_pieces are the rows
+#: behind p4_found. Tests hold them against brute force.
 ORACLE_SQL = {
-    "p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p6_agreement": P6_AGREEMENT,
+    "p1_found": P1_FOUND, "p1_groups": P1_GROUPS, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p6_agreement": P6_AGREEMENT,
     "p8_found": P8_FOUND,
 }

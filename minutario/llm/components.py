@@ -70,8 +70,8 @@ def connected_components(links: DataFrame, left: str, right: str, links_per_task
     Links with a null end or with equal ends tie nothing; repeated links and either direction are fine; no links give
     no rows. Each level runs union-find inside the partitions and keeps only spanning forests. The forests then go to
     fewer, bounded partitions, grouped by node. Once all fit into one bounded task, that task ends the job. A forest
-    too large for one task is finished by alternating the same union-find with pointer jumping until every node points
-    to a root; no task ever holds more than links_per_task links.
+    that no longer shrinks and is too large for one task is finished by pointer jumping, as joins and sums over all
+    tasks, until every node points to a root; no task ever holds more than links_per_task links in Python.
     """
     kind = links.schema[left].dataType.simpleString()
     schema = f"node {kind}, root {kind}"
@@ -94,10 +94,10 @@ def connected_components(links: DataFrame, left: str, right: str, links_per_task
             before = size
             forest = cut(merged(forest.repartition(parts, "node")))
             continue
-        return _jump_until_flat(forest, merged, parts)
+        return _jump_until_flat(forest)
 
 
-def _jump_until_flat(forest: DataFrame, merged, parts: int) -> DataFrame:
+def _jump_until_flat(forest: DataFrame) -> DataFrame:
     """Large forests: each node's roots are tied to the least of them, then every root is replaced by its own root.
 
     Nodes with a third of all links are only ever the broadcast-free probe side of a join by root, which adaptive

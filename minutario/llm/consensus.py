@@ -112,8 +112,9 @@ def fit(items: DataFrame, labels: Sequence[str], annotators: Sequence[str], in_d
         return flat.reshape(len(annotators) + 1, k, k)
 
     counts = counted(None, None)
-    used = (counts[:-1].sum((0, 1)) + np.diag(counts[-1]) > 1e-3 * max(counts[-1].sum(), 1)) if counts[-1].sum() else np.ones(k, bool)
-    prior, confusion = _step(counts, used)
+    used = _given_or_known(patterns, columns, k)
+    prior, confusion = _step(counts, used if used.any() else np.ones(k, bool))
+    used = prior > 0
     for _ in range(iterations):
         moved = _step(counted(prior, confusion), used)
         change = np.abs(moved[1] - confusion).max()
@@ -123,6 +124,14 @@ def fit(items: DataFrame, labels: Sequence[str], annotators: Sequence[str], in_d
     return Fit(list(labels), list(annotators), prior, confusion)
 
 
+def _given_or_known(patterns: DataFrame, columns: list[str], k: int) -> np.ndarray:
+    """Which labels somebody gave or some item is known to have, however few."""
+    seen = patterns.select(F.explode(F.array(*columns, "known")).alias("label")).where("label >= 0").distinct()
+    used = np.zeros(k, bool)
+    used[[r.label for r in seen.collect()]] = True  # at most k rows
+    return used
+
+
 def consensus(items: DataFrame, model: Fit) -> DataFrame:
     """(item_id, n_labels, n_distinct, agreement, consensus_label, probability, known_label) per item with a label.
 

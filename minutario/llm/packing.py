@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from minutario.session import cut
+
 CAPACITY = 2048
 #: Items above this share of the capacity are large.
 LARGE = 1 / 8
@@ -161,11 +163,12 @@ def packed_containers(documents: DataFrame, vocabulary: str, doc: str = "doc_id"
     """(container_id, doc, piece, from_char, to_char, n_tokens) for every text with a token; no container overflows.
 
     Null and empty texts need no place and don't come out; equal texts and repeated rows are packed one by one. A hash
-    of document and piece deals the pieces to shards of about `shard` items, each packed by one task;
+    of document and piece deals the pieces, which are counted, to shards of about `shard` items, each packed by one task;
     only lengths are shuffled, texts stay where they are. container_id is shard and number.
     """
     pieces = sized_pieces(documents, vocabulary, doc, text, capacity)
-    shards = max(1, -(-documents.count() // shard))
+    pieces = cut(pieces)  # the tokenizer runs once; only lengths are written
+    shards = max(1, -(-pieces.count() // shard))
     kind = documents.schema[doc].dataType.simpleString()
 
     def packed(frame: pd.DataFrame) -> pd.DataFrame:

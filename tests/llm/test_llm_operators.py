@@ -115,7 +115,8 @@ def test_registers_agree_with_the_weighted_similarity():
     common[:30] = True
     a, b = np.r_[0:30, 30:60], np.r_[0:30, 45:75]
     regs = near_duplicates.sketch(np.r_[a, b], vocabulary, common, np.array([0, len(a)]), range(1500))
-    wanted = (30 * 0.25 + 15) / (30 * 0.25 + 45)
+    weight = 30 * near_duplicates.COMMON_WEIGHT
+    wanted = (weight + 15) / (weight + 45)
     assert abs((regs[:, 0] == regs[:, 1]).mean() - wanted) < 0.03
 
 

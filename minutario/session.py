@@ -24,11 +24,16 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; make one only where that is unset."""
+    """Use the folder that the cluster names in spark.checkpoint.dir; make one only on a single machine without it.
+
+    A cluster that names none is an error: a folder of one machine would not be there for the others.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="minutario-checkpoint-"))
 
 

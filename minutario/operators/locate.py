@@ -2,40 +2,46 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: Fixed value: marks at a quote's end that don't count.
+TRAILING = ".,;:!?"
 
-def folded(text: str) -> tuple[str, list[int]]:
-    """Case-folded text with runs of white space as one blank, and each character's place in the original."""
-    out: list[str] = []
-    places: list[int] = []
-    for at, c in enumerate(text):
-        if c.isspace():
-            if out and out[-1] != " ":
-                out.append(" ")
-                places.append(at)
-            continue
-        for f in c.casefold():
-            out.append(f)
-            places.append(at)
-    return "".join(out), places
+
+def folded(text: str) -> tuple[str, np.ndarray]:
+    """Case-folded words joined by one blank, and each character's place in the original; blanks around are dropped.
+
+    A blank stands where the white space after the word begins. A letter that folds to several keeps its place in each.
+    """
+    words, places, end = [], [np.zeros(0, np.int64)], None
+    for found in re.finditer(r"\S+", text):
+        word = found.group().casefold()
+        own = np.arange(found.start(), found.end())
+        if len(word) != len(own):
+            own = np.repeat(own, [len(c.casefold()) for c in found.group()])
+        if end is not None:
+            places.append(np.array([end]))
+        words.append(word)
+        places.append(own)
+        end = found.end()
+    return " ".join(words), np.concatenate(places)
 
 
 def locate(text: str, quote: str) -> tuple[int, int, int]:
-    """(start, end, occurrences) of the first place, (-1, -1, 0) if there is none or the quote is blank."""
+    """(start, end, occurrences) of the first place, (-1, -1, 0) if there is none or the quote is blank.
+
+    Marks at the quote's end don't count; occurrences don't overlap.
+    """
     body, places = folded(text)
-    wanted = folded(quote)[0].strip()
-    at = body.find(wanted) if wanted else -1
-    if at < 0:
+    wanted = folded(quote)[0].rstrip(TRAILING)
+    if not wanted or (at := body.find(wanted)) < 0:
         return -1, -1, 0
-    times, here = 0, at
-    while here >= 0:
-        times += 1
-        here = body.find(wanted, here + 1)
-    return places[at], places[at + len(wanted) - 1] + 1, times
+    return int(places[at]), int(places[at + len(wanted) - 1]) + 1, body.count(wanted)
 
 
 def located(pairs: DataFrame, key: str, text: str, quote: str) -> DataFrame:

@@ -34,10 +34,15 @@ def r13(spark: SparkSession, folder: str) -> DataFrame:
     return cells
 
 
-@query("j26_located_quotes", f"select decision_id, strpos(lower(evidence_text), lower(substr(evidence_text, 5, 20))) > 0 as found from {DECISIONS} where length(evidence_text) > 30 and regexp_full_match(evidence_text, '[\\x20-\\x7E]*') and trim(substr(evidence_text, 5, 20)) <> ''")
+def _folded_sql(cell: str) -> str:
+    return rf"trim(regexp_replace(lower({cell}), '\s+', ' ', 'g'))"
+
+
+@query("j26_located_quotes", f"with q as (select decision_id, {_folded_sql('evidence_text')} as body, rtrim({_folded_sql('sentence_text')}, '.,;:!?') as quote from {DECISIONS}) select decision_id, coalesce(quote <> '' and strpos(body, quote) > 0, false) as found, coalesce(case when quote <> '' then (length(body) - length(replace(body, quote, ''))) // length(quote) end, 0)::bigint as occurrences from q")
 def j26(spark: SparkSession, folder: str) -> DataFrame:
-    d = decisions(spark, folder).where(F.length("evidence_text") > 30).where(F.col("evidence_text").rlike(r"^[\x20-\x7E]*$")).withColumn("quote", F.upper(F.substring("evidence_text", 5, 20))).where("trim(quote) <> ''")
-    return locate.located(d, "decision_id", "evidence_text", "quote").select("decision_id", (F.col("start") >= 0).alias("found"))
+    """Whether and how often each decision's whole sentence stands in its whole evidence, case and spacing aside."""
+    spots = locate.located(decisions(spark, folder), "decision_id", "evidence_text", "sentence_text")
+    return spots.select("decision_id", (F.col("start") >= 0).alias("found"), F.col("occurrences").cast("bigint").alias("occurrences"))
 
 
 @query("j26_sentence_in_evidence")

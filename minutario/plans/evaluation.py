@@ -135,17 +135,30 @@ def r04(spark: SparkSession, folder: str) -> DataFrame:
     return _texts(table(spark, folder, "documents"), "doc_id", lambda t: [budget.even_excerpt(t, 800, budget.line_windows(t, 200))], "doc_id bigint, excerpt string, cut boolean")
 
 
-@query("r05_fair_shares", f"select meeting_id, sum(length(text))::bigint as asked, least(sum(length(text)), 2000)::bigint as given from {CHUNKS} where text is not null group by 1")
+R05_SQL = f"""
+with c as (
+  select meeting_id, chunk_id, length(text) as n, row_number() over (partition by meeting_id order by length(text), chunk_id) as place,
+    row_number() over (partition by meeting_id order by length(text) desc, chunk_id) as size_place, count(*) over (partition by meeting_id) as k,
+    coalesce(sum(length(text)) over (partition by meeting_id order by length(text), chunk_id rows between unbounded preceding and 1 preceding), 0) as before
+  from {CHUNKS} where text is not null
+),
+level as (select meeting_id, arg_min((2000 - before) // (k - place + 1), place) filter (n * (k - place + 1) + before > 2000) as low from c group by 1),
+shared as (select c.*, l.low, least(n, coalesce(l.low, n)) as share, 2000 - sum(least(n, coalesce(l.low, n))) over (partition by meeting_id) as rest from c join level l using (meeting_id))
+select meeting_id, chunk_id, n::bigint as asked, (share + case when n > share and size_place <= rest then 1 else 0 end)::bigint as given from shared
+"""
+
+
+@query("r05_fair_shares", R05_SQL)
 def r05(spark: SparkSession, folder: str) -> DataFrame:
-    """A budget of 2,000 characters shared among a meeting's chunks."""
+    """What each chunk gets of a budget of 2,000 characters for its meeting."""
     sized = chunks(spark, folder).where("text is not null").select("meeting_id", "chunk_id", F.length("text").alias("n"))
 
     def share(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("chunk_id")
         given = budget.fair_shares(frame["n"].tolist(), 2000)
-        return pd.DataFrame({"meeting_id": [frame["meeting_id"].iloc[0]], "asked": [int(frame["n"].sum())], "given": [sum(given)]})
+        return pd.DataFrame({"meeting_id": frame["meeting_id"], "chunk_id": frame["chunk_id"], "asked": frame["n"], "given": given})
 
-    return sized.groupBy("meeting_id").applyInPandas(share, "meeting_id string, asked bigint, given bigint")
+    return sized.groupBy("meeting_id").applyInPandas(share, "meeting_id string, chunk_id string, asked bigint, given bigint")
 
 
 @query("l11_stratified_sample")
@@ -319,13 +332,27 @@ def e16(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("t24_power_grid")
 def t24(spark: SparkSession, folder: str) -> DataFrame:
-    grid = spark.createDataFrame([(n, 0.5, d, s) for n in (25, 50, 100) for d in (0.0, 0.1, 0.2) for s in (0.5, 1.5)], "n_questions int, base double, difference double, spread double")
+    """Power by both criteria for the sizes, base rates and spreads that the reviews show: questions and found share per stratum."""
+    found = F.coalesce("objetos_de_la_base", F.lit("")).contains(", recuperado").cast("int")
+    seen = reviews(spark, folder).groupBy("stratum").agg(F.count("*").alias("n"), F.avg(found).alias("rate"))
+    base = F.round(F.least(F.lit(0.9), F.greatest(F.lit(0.05), F.col("rate"))), 2)
+    steps = [F.explode(F.array(*map(F.lit, v))).alias(c) for c, v in (("difference", (0.0, 0.1, 0.2)), ("spread", (0.5, 1.5)), ("n_questions", (25, 50, 100)))]
+    grid = seen.where("stratum is not null").select(base.alias("base")).distinct()
+    for step in steps:
+        grid = grid.select("*", step)
     return round_all(power.simulate_grid(grid.repartition(8)))
 
 
+@query("t26_score_correlation")
+def t26(spark: SparkSession, folder: str) -> DataFrame:
+    """Correlation of simulated conditions over the same base rates."""
+    grid = t24(spark, folder).select("base", "difference", "spread").distinct()
+    return round_all(power.correlation_grid(grid))
+
+
 @query("t25_power_pivot")
 def t25(spark: SparkSession, folder: str) -> DataFrame:
-    return t24(spark, folder).where("spread = 1.5").groupBy("n_questions").pivot("difference", [0.0, 0.1, 0.2]).agg(F.first("power")).withColumnsRenamed({"0.0": "none", "0.1": "small", "0.2": "large"})
+    return t24(spark, folder).where("spread = 1.5").groupBy("base", "n_questions").pivot("difference", [0.0, 0.1, 0.2]).agg(F.first("power")).withColumnsRenamed({"0.0": "none", "0.1": "small", "0.2": "large"})
 
 
 @query("t18_channel_benefit", f"select count(*) filter (low and tied) as caught, count(*) filter (low and not tied) as false_alarms, count(*) filter (not low and tied) as beside, round(count(*) filter (low and tied) / nullif(count(*) filter (tied), 0), 6) as share from (select blocker_score < 0.3 as low, {TIED_SQL} as tied from {CANDIDATES} where {GOLD_SQL} and blocker_score is not null)")

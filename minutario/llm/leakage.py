@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,14 +11,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from minutario.session import cut
+
 WORDS, CONTAINMENT = 5, 0.3
 #: One-permutation MinHash: registers of a window and of an item.
 REGISTERS = 256
 #: Documents are cut into windows of a few sizes: the least that holds the item's sequences twice. A window overlaps
 #: the next one by half, so every stretch as long as an item lies within one.
 WINDOW_SIZES = (128, 256, 512, 1024)
-#: Up to this many item sequences the index is broadcast (8 MB for a million); above it items go in several passes.
-SEQUENCES_PER_PASS = 1_000_000
+#: Items of up to so many sequences are looked up by all of them: registers of so few would leave the search to chance.
+SHORT = 32
+#: Share of an item's registers that must agree with windows of its class, against the containment asked for. A shared
+#: sequence that is the least of the item's register is that of the window's with a chance of a half or more.
+LEAST_ESTIMATE = 0.25
+#: Bits of the filter over all items' sequences that is sent to the tasks: 8 MB, whatever the number of items.
+FILTER_BITS = 1 << 26
+
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -60,30 +67,20 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-@dataclass
-class ItemIndex:
-    """Items by window size: sorted register values with their items, all those values, and every item's distinct sequences."""
-
-    values: np.ndarray
-    by_size: dict[int, tuple[np.ndarray, np.ndarray]]
-    ids: list[int]
-    sequences: list[np.ndarray]
+def item_rows(passage: str | None) -> list[tuple]:
+    """(hash, class, sketched, kept, n) for each distinct sequence of an item.
 
-
-def build_index(items: list[tuple[int, np.ndarray]]) -> ItemIndex:
-    by_size: dict[int, list[tuple[np.ndarray, int]]] = {}
-    for place, (_, sequences) in enumerate(items):
-        size = next((w for w in WINDOW_SIZES if w >= 2 * len(sequences)), WINDOW_SIZES[-1])
-        kept = registers(sequences)
-        by_size.setdefault(size, []).append((kept[kept != np.uint64(0xFFFFFFFFFFFFFFFF)], place))
-    merged = {}
-    for size, own in by_size.items():
-        values = np.concatenate([v for v, _ in own])
-        places = np.concatenate([np.full(len(v), p) for v, p in own])
-        order = np.argsort(values, kind="stable")
-        merged[size] = (values[order], places[order])
-    values = np.unique(np.concatenate([v for v, _ in merged.values()]))
-    return ItemIndex(values, merged, [i for i, _ in items], [s for _, s in items])
+    class is the place of its window size, one past the last for items looked up by every sequence; kept the number of
+    sequences in the sketch, n that of all.
+    """
+    sequences = np.unique(word_sequences(passage))
+    n = len(sequences)
+    if n <= SHORT:
+        return [(int(h), len(WINDOW_SIZES), True, n, n) for h in sequences.view(np.int64)]
+    place = next((k for k, w in enumerate(WINDOW_SIZES) if w >= 2 * n), len(WINDOW_SIZES) - 1)
+    sketched = np.isin(sequences, registers(sequences))
+    kept = int(sketched.sum())
+    return [(int(h), place, bool(s), kept, n) for h, s in zip(sequences.view(np.int64), sketched)]
 
 
 def _window_registers(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -97,77 +94,77 @@ def _window_registers(hashes: np.ndarray, size: int) -> np.ndarray:
     return np.unique(joined)
 
 
-def _in_sorted(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which values are among the known ones, which are sorted and not empty."""
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
-
+def text_hits(text: str | None, bits: np.ndarray, used: list[int], words: WordHashes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, classes): the text's distinct sequences that pass the filter of the items' sequences.
 
-def find_items(text: str | None, index: ItemIndex, least: float = CONTAINMENT, words: WordHashes | None = None) -> list[tuple[int, float]]:
-    """(item id, share of its distinct sequences in the text) for the items that reach the share.
-
-    An item is a candidate once it shares a register value with a window of its size class; shared sequences that are
-    the least of their register on both sides show there. Candidates are verified on the exact sequence sets.
+    Bit k of classes says that the sequence is the least of its register in some window of class k; the bit past the
+    last is always set. used: the classes that items are of. A sketch never agrees in a single sequence only.
     """
     hashes = word_sequences(text, words)
-    if not len(hashes) or not _in_sorted(hashes, index.values).any():
-        return []  # a shared register value is one of the text's own hashes
-    candidates: set[int] = set()
-    for size, (values, places) in index.by_size.items():
-        seen = _window_registers(hashes, size)
-        candidates.update(places[_in_sorted(values, seen)].tolist())
-    if not candidates:
-        return []
-    own = np.unique(hashes)
-    out = []
-    for place in sorted(candidates):
-        wanted = index.sequences[place]
-        share = float(_in_sorted(wanted, own).sum()) / len(wanted)
-        if share >= least:
-            out.append((index.ids[place], share))
-    return out
-
-
-def leaked_items(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", least: float = CONTAINMENT, per_pass: int = SEQUENCES_PER_PASS) -> DataFrame:
+    at = hashes & np.uint64(FILTER_BITS - 1)
+    hit = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    if not hit.any():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    own = np.unique(hashes[hit])
+    classes = np.full(len(own), 1 << len(WINDOW_SIZES), np.int32)
+    for k in used if len(own) > 1 else ():
+        classes |= np.isin(own, _window_registers(hashes, WINDOW_SIZES[k])).astype(np.int32) << k
+    return own, classes
+
+
+def _filter_bits(rows: DataFrame) -> np.ndarray:
+    """The filter as bytes: one bit for each hash, set by sums in the JVM. At most FILTER_BITS / 64 rows come to the driver."""
+    at = F.col("hash").bitwiseAND(FILTER_BITS - 1)
+    words = rows.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((hash & {FILTER_BITS - 1}) % 64 as int))")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    known = words.toPandas()
+    out[known["word"].to_numpy(np.int64)] = known["bits"].to_numpy(np.int64)
+    return out.view(np.uint8)
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", least: float = CONTAINMENT) -> DataFrame:
     """(doc, item, containment): documents that hold at least `least` of an item's distinct sequences of five words.
 
     Words are runs of letters and digits in lower case. Null or short passages and texts match nothing; repeated rows
-    come out once; empty tables give no rows. Items are held-out material, read in slices of at most per_pass
-    sequences; the index of a slice is shipped to the tasks, which pass over the documents without any shuffle, text
-    by text. More items than a slice holds make further passes, so no index outgrows its bound.
+    come out once; a key that comes with several texts counts for all of them; empty tables give no rows.
+
+    Items are tables of their sequences, with those marked that a MinHash sketch keeps. The texts are read once,
+    whatever the number of items: a filter of fixed size passes the sequences that some item may have, each with the
+    classes of windows whose sketch keeps it. Joined by sequence, an item is a candidate for a document if enough
+    registers of its size class agree, and is verified on the exact number of shared sequences. Items of up to SHORT
+    sequences are candidates by any of them.
     """
     kind = documents.schema[doc].dataType.simpleString()
     item_kind = items.schema[item].dataType.simpleString()
-    source = documents.select(doc, text).where(F.col(text).isNotNull())
-    found: DataFrame | None = None
-    for own in _slices(items.select(item, passage).where(F.col(passage).isNotNull()).distinct(), per_pass):
-        index = build_index(own)  # goes to the tasks with the function, which Spark broadcasts
-
-        def scan(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            words = WordHashes()
-            for batch in batches:
-                rows = [(d, i, s) for d, t in zip(batch[doc], batch[text]) for i, s in find_items(t, index, least, words)]
-                if rows:
-                    yield pd.DataFrame(rows, columns=[doc, item, "containment"])
-
-        part = source.mapInPandas(scan, f"`{doc}` {kind}, `{item}` {item_kind}, containment double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return documents.sparkSession.createDataFrame([], f"`{doc}` {kind}, `{item}` {item_kind}, containment double")
-    return found.distinct()
-
-
-def _slices(items: DataFrame, per_pass: int) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """Items with their distinct sequences, a bounded slice at a time, streamed to the driver."""
-    own: list[tuple[int, np.ndarray]] = []
-    size = 0
-    for key, passage in items.toLocalIterator():
-        sequences = np.unique(word_sequences(passage))
-        if not len(sequences):
-            continue
-        if own and size + len(sequences) > per_pass:
-            yield own
-            own, size = [], 0
-        own.append((key, sequences))
-        size += len(sequences)
-    if own:
-        yield own
+    source = documents.select(F.col(doc).alias("d"), F.col(text).alias("t")).where(F.col(text).isNotNull())
+
+    passages = items.select(F.col(item).alias("i"), F.col(passage).alias("p")).where(F.col(passage).isNotNull()).distinct()
+    flat = passages.select("i", F.xxhash64("p").alias("part"), "p")  # an item that comes with several passages keeps them apart
+
+    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(i, part, *r) for i, part, p in zip(batch["i"], batch["part"], batch["p"]) for r in item_rows(p)]
+            yield pd.DataFrame(rows, columns=["i", "part", "hash", "class", "sketched", "kept", "n"])
+
+    table = cut(flat.mapInPandas(sketched, f"i {item_kind}, part long, hash long, class int, sketched boolean, kept int, n int"))
+    bits = documents.sparkSession.sparkContext.broadcast(_filter_bits(table))
+    used = sorted(r[0] for r in table.where(F.col("class") < len(WINDOW_SIZES)).select("class").distinct().collect())  # at most as many as sizes
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = WordHashes()
+        for batch in batches:
+            keys, hashes, classes = [], [], []
+            for d, t in zip(batch["d"], batch["t"]):
+                own, seen = text_hits(t, bits.value, used, words)
+                keys += [d] * len(own)
+                hashes.append(own.view(np.int64))
+                classes.append(seen)
+            if keys:
+                yield pd.DataFrame({"d": pd.Series(keys), "hash": np.concatenate(hashes), "classes": np.concatenate(classes)})
+
+    hits = source.mapInPandas(scan, f"d {kind}, hash long, classes int")
+    hits = hits.groupBy("d", "hash").agg(F.bit_or("classes").alias("classes"))
+    agrees = F.col("sketched") & (F.expr("shiftright(classes, class) & 1") == 1)
+    both = hits.join(table, "hash").groupBy("d", "i", "part").agg(F.count("*").alias("shared"), F.count_if(agrees).alias("agree"), F.first("kept").alias("kept"), F.first("n").alias("n"))
+    found = both.where((F.col("agree") >= LEAST_ESTIMATE * least * F.col("kept")) & (F.col("agree") > 0) & (F.col("shared") >= least * F.col("n") - 1e-9))
+    return found.groupBy(F.col("d").alias(doc), F.col("i").alias(item)).agg(F.max(F.col("shared") / F.col("n")).alias("containment"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +13,12 @@ from pyspark.sql import functions as F
 
 from minutario.functions.text import decision_id, decision_terms
 from minutario.llm.buckets import block_pairs, bucket_candidates
+from minutario.llm.near_duplicates import pairs_in_groups
 from minutario.session import cut
 from minutario.versions import latest
 
-#: Sets up to this size are small: a set of 14 has 364 subsets of three. Larger ones are found through inverted lists.
-SMALL = 14
+#: Entries of one inverted list that a join key holds. Longer lists are cut into blocks that the probes visit one by one.
+LIST_BLOCK = 1000
 
 
 def _needed(size: np.ndarray | int, least: int, share: float):
@@ -63,21 +65,47 @@ def _marked(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.nda
     return (rows["mark"][i] | rows["mark"][j]) == 1
 
 
-def overlap_pairs(sets: DataFrame, least: int = 3, share: float = 0.75, small: int = SMALL) -> DataFrame:
+def small_size(costs: dict[int, tuple[int, int]], least: int) -> int:
+    """The size up to which sets are small, from (number of sets, entries of the lists they would scan) by size.
+
+    A small set costs its subsets of `least` tokens, a large one the lists of its first tokens; the boundary with the
+    least sum is taken, the lower one of equals.
+    """
+    sizes = sorted(costs)
+    total = sum(scanned for _, scanned in costs.values())
+    best, boundary = total, least - 1
+    for size in sizes:
+        number, scanned = costs[size]
+        total += number * comb(size, least) - scanned
+        if total < best:
+            best, boundary = total, size
+    return boundary
+
+
+def overlap_pairs(sets: DataFrame, least: int = 3, share: float = 0.75, small: int | None = None, list_block: int = LIST_BLOCK) -> DataFrame:
     """(a, b), a < b, for sets (id long, part string, tokens array<string>) of one part whose overlap suffices.
 
+    small is the size up to which sets are small; None takes the one with the least cost by the counted list lengths.
+
     Wanted are at least `least` common tokens that are also at least `share` of the smaller set. Ids and tokens within
     a set are distinct; null arrays and sets below `least` tokens pair with nothing; no sets give no rows. Tokens are
     ordered by their frequency inside the part. Two small sets are found through a common subset of `least` tokens.
     Pairs with a large set are found through inverted lists: a set's rare first tokens, of which one at least must be
     common, probe the lists of the large sets' tokens, and the large sets' first tokens those of all sets. The union
-    of the pairs is checked on the exact overlap. Full buckets are cut into blocks, so neither a part with a third of
-    the rows nor a frequent subset makes a long task.
+    of the pairs is checked on the exact overlap. Full buckets and long lists are cut into blocks, so neither a part with
+    a third of the rows nor a frequent subset or token makes a long task.
     """
     base = sets.where(F.size("tokens") >= least).select("id", F.xxhash64("part").alias("part"), F.explode("tokens").alias("token"))
     counted = base.groupBy("part", "token").agg(F.count("*").alias("n"))
     ranked = base.join(counted, ["part", "token"]).groupBy("part", "id").agg(F.array_sort(F.collect_list(F.struct("n", F.xxhash64("token").alias("t")))).alias("ranked"))
-    ranked = cut(ranked.select("part", "id", F.transform("ranked", lambda x: x["t"]).alias("tokens")))
+    ranked = ranked.select("part", "id", F.transform("ranked", lambda x: x["t"]).alias("tokens"), F.transform("ranked", lambda x: x["n"]).alias("lists"))
+    ranked = cut(ranked)
+    n = F.size("tokens")
+    needed = F.greatest(F.lit(least), F.ceil(n * share - 1e-9)).cast("int")
+    if small is None:
+        scanned = F.aggregate(F.slice("lists", 1, n - needed + 1), F.lit(0).cast("long"), lambda acc, x: acc + x)
+        costs = ranked.groupBy(n.alias("size")).agg(F.count("*").alias("number"), F.sum(scanned).alias("scanned")).collect()  # a row for each size
+        small = small_size({c.size: (c.number, c.scanned) for c in costs}, least)
 
     subsets = ranked.where(F.size("tokens") <= small).mapInArrow(lambda b: _subset_rows(b, least, share), "key bigint, id bigint, mark bigint")
     found = cut(bucket_candidates(subsets, _marked))
@@ -87,12 +115,13 @@ def overlap_pairs(sets: DataFrame, least: int = 3, share: float = 0.75, small: i
         members = hot.select("key", "block", F.col("a").alias("id"), "mark")
         candidates = candidates.unionByName(block_pairs(members, lambda l, r: F.greatest(f"{l}.mark", f"{r}.mark") == 1))
 
-    n = F.size("tokens")
-    needed = F.greatest(F.lit(least), F.ceil(n * share - 1e-9)).cast("int")
-    firsts = ranked.select("part", "id", n.alias("size"), F.explode(F.slice("tokens", 1, n - needed + 1)).alias("token"))
-    large = ranked.where(n > small).select("part", F.col("id").alias("other"), F.size("tokens").alias("other_size"), F.explode("tokens").alias("token"))
+    blocks = F.ceil(F.col("e.lists") / list_block).cast("int")
+    entry = lambda upto: F.explode(F.arrays_zip(F.slice("tokens", 1, upto).alias("tokens"), F.slice("lists", 1, upto).alias("lists"))).alias("e")
+    probes = ranked.select("part", "id", n.alias("size"), entry(n - needed + 1)).select("part", "id", "size", F.col("e.tokens").alias("token"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    large = ranked.where(n > small).select("part", F.col("id").alias("other"), n.alias("other_size"), entry(n))
+    large = large.select("part", "other", "other_size", F.col("e.tokens").alias("token"), F.pmod(F.xxhash64("other"), blocks).cast("int").alias("block"))
     # With a large set as the larger one, and as the smaller or equal one.
-    scanned = firsts.join(large, ["part", "token"]).where("id <> other and size <= other_size")
+    scanned = probes.join(large, ["part", "token", "block"]).where("id <> other and size <= other_size")
     candidates = candidates.unionByName(scanned.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")))
 
     x = ranked.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
@@ -127,8 +156,8 @@ def similar_decisions(decisions: DataFrame, least: int = 3, share: float = 0.75)
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     member = cut(own.join(classes.select("mark", "id"), "mark").select("id", "decision_id", "meeting_id"))
     pairs = overlap_pairs(classes.select("id", "part", "tokens"), least, share).select("a", "b")
-    same = classes.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    same = pairs_in_groups(member, "decision_id", "id").where(F.substring_index("decision_id_a", ".", 1) != F.substring_index("decision_id_b", ".", 1))
     x = member.select(F.col("id").alias("a"), F.col("decision_id").alias("x"), F.col("meeting_id").alias("mx"))
     y = member.select(F.col("id").alias("b"), F.col("decision_id").alias("y"), F.col("meeting_id").alias("my"))
-    both = pairs.unionByName(same).join(x, "a").join(y, "b").where("mx <> my and x <> y")
-    return both.select(F.least("x", "y").alias("decision_id_a"), F.greatest("x", "y").alias("decision_id_b")).distinct()
+    both = pairs.join(x, "a").join(y, "b").where("mx <> my and x <> y")
+    return both.select(F.least("x", "y").alias("decision_id_a"), F.greatest("x", "y").alias("decision_id_b")).unionByName(same).distinct()

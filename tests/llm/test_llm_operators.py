@@ -137,9 +137,15 @@ def test_pairs_in_groups(spark):
 # Overlap join
 
 
-@pytest.mark.parametrize("small", [4, 6, 14])
+def test_boundary_of_small_sets_has_the_least_cost():
+    assert overlap_join.small_size({}, 3) == 2
+    assert overlap_join.small_size({3: (10, 40), 8: (5, 30), 20: (1, 900)}, 3) == 3  # 56 subsets of eight cost more than six entries each
+    assert overlap_join.small_size({3: (10, 40), 8: (5, 3000), 20: (1, 9000)}, 3) == 20
+
+
+@pytest.mark.parametrize("small", [2, 4, 6, 14, None])
 def test_overlap_join_equals_brute_force(spark, small):
-    rng = random.Random(small)
+    rng = random.Random(small or 1)
     words = [f"t{int(rng.paretovariate(0.7)) % 60}" for _ in range(400)]
     sets = {i: (f"p{i % 3}", sorted({rng.choice(words) for _ in range(rng.randrange(1, 12))})) for i in range(260)}
     sets |= {i: ("p9", ["x", "y", "z", f"q{i}"]) for i in range(300, 480)}  # one subset holds them all
@@ -148,7 +154,7 @@ def test_overlap_join_equals_brute_force(spark, small):
         (a, b) for a, (p, x) in sets.items() for b, (q, y) in sets.items()
         if a < b and p == q and len(set(x) & set(y)) >= 3 and len(set(x) & set(y)) / min(len(x), len(y)) >= 0.75
     }
-    assert rows(overlap_join.overlap_pairs(df, small=small).select("a", "b")) == wanted
+    assert rows(overlap_join.overlap_pairs(df, small=small, list_block=7).select("a", "b")) == wanted
 
 
 def test_candidate_decisions_normalise_ids_and_merge_texts(spark):

@@ -151,7 +151,7 @@ def similar_decisions(decisions: DataFrame, least: int = 3, share: float = 0.75)
 
     Decisions of a series with one and the same set of terms form a class; classes are joined, their members put in.
     """
-    own = decisions.where(F.size("terms") >= least).withColumn("mark", F.md5(F.concat_ws(" ", "series_id", "terms")))
+    own = cut(decisions.where(F.size("terms") >= least).withColumn("mark", F.md5(F.concat_ws(" ", "series_id", "terms"))))
     classes = own.groupBy("mark").agg(F.first("series_id").alias("part"), F.first("terms").alias("tokens"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     member = cut(own.join(classes.select("mark", "id"), "mark").select("id", "decision_id", "meeting_id"))

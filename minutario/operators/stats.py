@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -70,15 +71,33 @@ def iqr_outliers(df: DataFrame, key: str, columns: Sequence[str], k: float = 1.5
     return long.join(F.broadcast(fences), "variable").where((F.col("value") < low) | (F.col("value") > high)).select(key, "variable", "value")
 
 
+#: Ranges that the distinct values are dealt to for running sums: a task holds about this part of a group's values.
+RANGES = 64
+
+
 def mid_ranks(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """df with rank (ties share their mean rank) and ties (rows of the same value) per group.
+    """df with rank (ties share their mean rank) and ties (rows of the same value) per group; null values drop out.
 
-    Values are counted first; the running sum is over distinct values, partitioned by the groups.
+    Rows are counted by value first. The distinct values are dealt to ranges between approximate quantiles, summed up
+    in order within each range, and the ranges' own totals, RANGES to a group, are added: no task holds a whole
+    group, and the result doesn't depend on where the ranges lie.
     """
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("ties"))
-    before = F.sum("ties").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1))
-    ranked = counts.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("ties") + 1) / 2)
-    return df.join(ranked, [*by, value])
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("ties"))
+    bounds = counts.agg(F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]), F.lit(1000)).alias("_bounds"))
+    place = F.size(F.filter("_bounds", lambda b: b < F.col(value).cast("double")))
+    dealt = counts.crossJoin(F.broadcast(bounds)).select(*by, value, "ties", place.alias("_range"))  # bounds: one row
+    inside = F.sum("ties").over(W.partitionBy(*by, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1))
+    totals = dealt.groupBy(*by, "_range").agg(F.sum("ties").alias("_total"))
+    lower = totals.select(*[F.col(c).alias(f"_l_{c}") for c in by], F.col("_range").alias("_lower"), F.col("_total").alias("_below"))
+    on = F.col("_lower") < F.col("_range")
+    for c in by:
+        on &= F.col(f"_l_{c}").eqNullSafe(F.col(c))
+    offsets = totals.join(lower, on, "left").groupBy(*by, "_range").agg(F.coalesce(F.sum("_below"), F.lit(0)).alias("_offset"))
+    ranked = dealt.withColumn("_inside", F.coalesce(inside, F.lit(0)))
+    same = reduce(lambda x, y: x & y, [F.col(f"o.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*by, "_range")])
+    ranked = ranked.alias("r").join(offsets.alias("o"), same).select(*[F.col(f"r.{c}") for c in (*by, value, "ties")], (F.col("_offset") + F.col("_inside") + (F.col("ties") + 1) / 2).alias("rank"))
+    match = reduce(lambda x, y: x & y, [F.col(f"d.{c}").eqNullSafe(F.col(f"k.{c}")) for c in (*by, value)])
+    return df.alias("d").join(ranked.alias("k"), match).select("d.*", "k.ties", "k.rank")
 
 
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -105,15 +124,17 @@ def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(x, y, n, pearson, spearman) for every pair of columns over rows where both are known."""
-    out = None
-    for i, x in enumerate(columns):
-        for y in columns[i + 1 :]:
-            own = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-            ranked = mid_ranks(mid_ranks(own, "x").select("x", "y", F.col("rank").alias("rx")), "y").withColumnRenamed("rank", "ry")
-            one = ranked.agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman")).select(F.lit(x).alias("x"), F.lit(y).alias("y"), "n", "pearson", "spearman")
-            out = one if out is None else out.unionByName(one)
-    return out
+    """(x, y, n, pearson, spearman) for every pair of columns over rows where both are known.
+
+    The rows are read once and written out by pair of columns; the pairs are the groups of the ranks.
+    """
+    pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i + 1 :]]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("pair"), F.col(x).cast("double").alias("vx"), F.col(y).cast("double").alias("vy")) for n, (x, y) in enumerate(pairs)])).alias("_p")
+    long = df.select(each).select("_p.*").where("vx is not null and vy is not null")
+    ranked = mid_ranks(mid_ranks(long, "vx", "pair").select("pair", "vx", "vy", F.col("rank").alias("rx")), "vy", "pair")
+    found = ranked.groupBy("pair").agg(F.count("*").alias("n"), F.corr("vx", "vy").alias("pearson"), F.corr("rx", "rank").alias("spearman"))
+    names = df.sparkSession.createDataFrame([(n, x, y) for n, (x, y) in enumerate(pairs)], "pair int, x string, y string")
+    return names.join(found, "pair", "left").select("x", "y", F.coalesce("n", F.lit(0)).alias("n"), "pearson", "spearman")
 
 
 def benjamini_hochberg(p_values: DataFrame, key: str, p: str, alpha: float = 0.05) -> DataFrame:

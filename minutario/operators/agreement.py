@@ -33,3 +33,14 @@ def precision_recall_f1(tp: Column, fp: Column, fn: Column) -> tuple[Column, Col
     recall = F.when(tp + fn > 0, tp / (tp + fn)).otherwise(0.0)
     f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
     return precision, recall, f1
+
+
+def kappa_of_counts(both: Column, only_a: Column, only_b: Column, neither: Column) -> Column:
+    """Cohen's kappa of two yes-no labellers from their four counts; null where chance agreement is complete."""
+    chance = (both + only_a) * (only_a + neither) + (both + only_b) * (only_b + neither)
+    return F.when(chance > 0, 2 * (both * neither - only_a * only_b) / chance)
+
+
+def settled_kappa(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
+    """kappa with its two open cases settled: 1 where all labels are equal, 0 where it is undefined otherwise."""
+    return kappa(df, a, b, by).withColumn("kappa", F.when(F.col("observed") == 1, 1.0).otherwise(F.coalesce("kappa", F.lit(0.0))))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,11 @@ def z_value(level: float = 0.95) -> float:
     return NormalDist().inv_cdf(1 - (1 - level) / 2)
 
 
+def apart(lower_a: Column, upper_a: Column, lower_b: Column, upper_b: Column) -> Column:
+    """above, below or overlap: where interval a lies against b; null if a bound is missing."""
+    return F.when(lower_a > upper_b, "above").when(upper_a < lower_b, "below").when((lower_a <= upper_b) & (upper_a >= lower_b), "overlap")
+
+
 def wilson(rate: Column, n: Column, level: float = 0.95) -> tuple[Column, Column]:
     """Bounds of a proportion, clipped to [0, 1]; null for n = 0. n may be fractional."""
     z = z_value(level)
@@ -49,6 +55,33 @@ def bootstrap_means(df: DataFrame, group: str, unit: str, value: str, n: int = 1
     return units.groupBy(group).applyInPandas(one, f"`{group}` string, n_units long, point double, lower double, upper double")
 
 
+def weighted_bootstrap_means(df: DataFrame, group: str, unit: str, value: str, n: int = 1000, seed: int = 20240501, level: float = 0.95) -> DataFrame:
+    """(group, n_units, point, lower, upper) like bootstrap_means, for groups of any number of units.
+
+    Instead of drawing units, every unit gets a Poisson weight of mean 1 in each of n resamples, from a generator seeded
+    by its own hash; a batch gives n sums for each of its groups and the sums are added by group and resample. No task holds a
+    group's units, and the result depends on neither partitioning nor order. Null values, units and groups don't count.
+    """
+    units = df.where(F.col(value).isNotNull() & F.col(unit).isNotNull() & F.col(group).isNotNull()).groupBy(group, unit).agg(F.avg(value).alias("_mean"))
+    hashed = units.select(F.col(group).cast("string").alias("g"), F.xxhash64(unit).alias("h"), "_mean")
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for g, own in batch.groupby("g"):
+                totals = np.zeros((2, n))
+                for h, mean in zip(own["h"], own["_mean"]):
+                    weight = np.random.Generator(np.random.SFC64([seed, h & 0xFFFFFFFF, (h >> 32) & 0xFFFFFFFF])).poisson(1.0, n)
+                    totals += [weight, weight * mean]
+                yield pd.DataFrame({"g": g, "resample": np.arange(n), "weight": totals[0], "total": totals[1]})
+
+    sums = hashed.mapInPandas(summed, "g string, resample int, weight double, total double").groupBy("g", "resample").agg(F.sum("weight").alias("w"), F.sum("total").alias("t"))
+    means = sums.where("w > 0").groupBy("g").agg(F.array_sort(F.collect_list(F.col("t") / F.col("w"))).alias("m"))  # n values to a group
+    points = hashed.groupBy("g").agg(F.count("*").alias("n_units"), F.avg("_mean").alias("point"))
+    tail, size = (1 - level) / 2, F.size("m")
+    at = lambda share: F.element_at("m", F.least(size, F.floor(size * share).cast("int") + 1))
+    return points.join(means, "g").select(F.col("g").alias(group), "n_units", "point", at(tail).alias("lower"), at(1 - tail).alias("upper"))
+
+
 def cluster_bootstrap_prf(counts: DataFrame, group: str, cluster: str, n: int = 1000, seed: int = 20240501, level: float = 0.95) -> DataFrame:
     """Precision, recall and F1 with intervals from counts (group, cluster, hits_p, n_p, hits_r, n_r) per cluster."""
 

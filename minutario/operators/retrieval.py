@@ -6,9 +6,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 #: Words that retrieval leaves out.
 RETRIEVAL_STOP_WORDS = (
@@ -21,6 +25,8 @@ RETRIEVAL_STOP_WORDS = (
 ).split()
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Documents that a task scores in one go against the queries.
+DOCUMENTS_AT_ONCE = 256
 
 
 def retrieval_tokens(text: Column) -> Column:
@@ -59,6 +65,48 @@ def top_k(scored: DataFrame, k: int, *tie: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def lexical_search(documents: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, pool: int) -> DataFrame:
+    """(query, doc, score, rank): the pool best documents of bm25 for each query, scores above zero rounded to 8 places.
+
+    Neither postings nor scored pairs are shuffled: terms are counted by document before the shuffle, the weights of the
+    queries' terms go to the tasks (the queries are an evaluation set), and each batch keeps its own best pool.
+    """
+    tokens = documents.select(F.col(key).alias("doc"), retrieval_tokens(F.col(text)).alias("w"))
+    size = tokens.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("dl")).collect()[0]
+    n = F.col("n")
+    raw = tokens.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("n")).select("term", F.ln((F.lit(size.n) - n + 0.5) / (n + 0.5)).alias("raw"))
+    asked = queries.select(F.col(query_key).alias("query"), F.explode(retrieval_tokens(F.col(query_text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
+    floor = raw.agg((EPSILON * F.avg("raw")).alias("floor"))
+    weighted = asked.join(raw, "term").crossJoin(F.broadcast(floor)).select("query", "term", (F.col("times") * F.when(F.col("raw") >= 0, F.col("raw")).otherwise(F.col("floor"))).alias("weight")).toPandas()
+    names, terms = sorted(weighted["query"].unique()), sorted(weighted["term"].unique())
+    weights = np.zeros((len(terms), len(names)))
+    weights[np.searchsorted(terms, weighted["term"]), np.searchsorted(names, weighted["query"])] = weighted["weight"]
+    q_kind, d_kind = queries.schema[query_key].dataType, documents.schema[key].dataType
+    out = to_arrow_schema(StructType([StructField("query", q_kind), StructField("doc", d_kind)])).append(pa.field("score", pa.float64()))
+    known, ids = pa.array(terms, pa.string()), pa.array(names, out.field("query").type)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows if len(terms) else 0, DOCUMENTS_AT_ONCE):
+                batch = whole.slice(at, DOCUMENTS_AT_ONCE)
+                batch = batch.take(pc.sort_indices(batch.column("doc")))
+                words = batch.column("w")
+                code = pc.fill_null(pc.index_in(words.flatten(), known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                length = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+                cell = np.repeat(np.arange(len(length)), length) * len(terms) + code
+                cell, tf = np.unique(cell[code >= 0], return_counts=True)
+                part = np.zeros((len(length), len(terms)))
+                part.flat[cell] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[cell // len(terms)] / size.dl))
+                score = np.round((part @ weights).T, 8)
+                best = np.argsort(-score, 1, kind="stable")[:, :pool]
+                value = np.take_along_axis(score, best, 1).ravel()
+                kept = value > 0
+                query = ids.take(pa.array(np.repeat(np.arange(len(names)), best.shape[1])[kept]))
+                yield pa.RecordBatch.from_arrays([query, batch.column("doc").take(pa.array(best.ravel()[kept])), pa.array(value[kept])], schema=out)
+
+    return top_k(tokens.mapInArrow(run, f"query {q_kind.simpleString()}, doc {d_kind.simpleString()}, score double"), pool, "doc")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -134,13 +182,13 @@ def hybrid(lexical: DataFrame, dense: DataFrame, limit: int, mode: str = "hybrid
     if mode not in RETRIEVAL_MODES:
         raise ValueError(f"mode must be one of {RETRIEVAL_MODES}, got {mode!r}")
     pool = max(limit, MIN_POOL)
-    ranked = []
-    for name, scored in (("lexical", lexical.where("score > 0")), ("dense", dense)):
-        if mode in ("hybrid", {"lexical": "bm25"}.get(name, name)):
-            ranked.append(top_k(scored.select("query", "doc", "score"), pool, "doc").select("query", "doc", F.lit(name).alias("channel"), "rank"))
-    both = ranked[0] if len(ranked) == 1 else ranked[0].unionByName(ranked[1])
-    at = lambda n: F.max(F.when(F.col("channel") == n, F.col("rank"))).alias(f"{n}_rank")
-    fused = both.groupBy("query", "doc").agg(F.round(F.sum(1 / (rrf_k + F.col("rank"))), 12).alias("score"), at("lexical"), at("dense"))
+    own = {"lexical": lexical.where("score > 0"), "dense": dense}
+    used = [n for n in own if mode in ("hybrid", {"lexical": "bm25"}.get(n, n))]
+    by = {n: top_k(scored.select("query", "doc", "score") if n in used else scored.select("query", "doc", "score").where("false"), pool, "doc").select("query", "doc", F.col("rank").alias(f"{n}_rank")) for n, scored in own.items()}
+    # A join, since Spark 4.1 takes a union of tables hashed by query as hashed too, though each is coalesced on its own.
+    both = by["lexical"].join(by["dense"], ["query", "doc"], "full")
+    share = lambda n: F.coalesce(1 / (rrf_k + F.col(f"{n}_rank")), F.lit(0.0))
+    fused = both.select("query", "doc", F.round(share("lexical") + share("dense"), 12).alias("score"), "lexical_rank", "dense_rank")
     return top_k(fused, limit, "doc")
 
 
@@ -157,8 +205,9 @@ def passage_recall(ranked: DataFrame, documents: DataFrame, key: str, text: str,
     Queries for which nothing was found count with a recall of 0.
     """
     wanted = evidence.select(F.col(query_key).alias("query"), F.explode(word_sequences(F.col(passage))).alias("gram")).distinct()
-    texts = documents.select(F.col(key).alias("doc"), F.explode(word_sequences(F.col(text))).alias("gram"))
-    found = ranked.where(F.col("rank") <= max(ks)).join(texts, "doc").select("query", "gram", "rank").groupBy("query", "gram").agg(F.min("rank").alias("rank"))
+    best = F.broadcast(ranked.where(F.col("rank") <= max(ks)).select("query", "doc", "rank"))  # at most max(ks) to a query
+    texts = best.join(documents.select(F.col(key).alias("doc"), F.col(text).alias("_text")), "doc")
+    found = texts.select("query", "rank", F.explode(word_sequences(F.col("_text"))).alias("gram")).groupBy("query", "gram").agg(F.min("rank").alias("rank"))
     hits = wanted.join(found, ["query", "gram"], "left").select("query", "rank", F.explode(F.array(*map(F.lit, sorted(set(ks))))).alias("k"))
     each = hits.groupBy("k", "query").agg(F.avg(F.when(F.col("rank") <= F.col("k"), 1.0).otherwise(0.0)).alias("recall"))
     return each.groupBy("k").agg(F.count("*").alias("n_queries"), F.round(F.avg("recall"), 6).alias("mean_recall"))

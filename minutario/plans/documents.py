@@ -66,8 +66,7 @@ def r07(spark: SparkSession, folder: str) -> DataFrame:
 
 def _channels(pieces: DataFrame, items: DataFrame, pool: int = R.MIN_POOL) -> tuple[DataFrame, DataFrame]:
     """Both channels over pieces (doc, text), written once as each mode reads them."""
-    lexical = R.bm25(pieces, "doc", "text", items, "item_id", "question").withColumn("score", rounded("score", 8))
-    lexical = cut(top_k(lexical.where("score > 0"), pool, "doc").drop("rank"))
+    lexical = cut(R.lexical_search(pieces, "doc", "text", items, "item_id", "question", pool).drop("rank"))
     return lexical, cut(R.dense_search(pieces, "doc", "text", items, "item_id", "question", pool=pool).drop("rank"))
 
 

@@ -253,3 +253,17 @@ def test_merged_passages_join_windows_that_meet_and_mark_gaps(spark):
     got = retrieval.merged_passages(turns, hits, "k", "m", "i", "line", 1).collect()
     lines = lambda m, *at: "\n".join(f"A: {m}{i}" for i in at)
     assert [(r.k, r.passage) for r in got] == [("x", f"[m1]\n{lines('m1', 0, 1, 2, 3, 4)}\n[...]\n{lines('m1', 7, 8, 9)}\n\n[m2]\n{lines('m2', 4, 5, 6)}")]
+
+
+def test_lexical_search_equals_the_best_of_bm25_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "DOCUMENTS_AT_ONCE", 3)
+    texts = ["table lamp", "lamp lamp chair", "red table", "", None, "table table table lamp", "green chair", "lamp red", "blue", "table lamp"]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc string, text string")
+    asked = spark.createDataFrame([(1, "table lamp lamp"), (2, "blue chair"), (3, "unheard"), (4, None)], "q long, t string")
+    got = retrieval.lexical_search(docs, "doc", "text", asked, "q", "t", 4)
+    scored = retrieval.bm25(docs, "doc", "text", asked, "q", "t").withColumn("score", F.round("score", 8))
+    wanted = retrieval.top_k(scored.where("score > 0"), 4, "doc")
+    assert got.columns == wanted.columns
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in wanted.collect()} != set()
+    assert retrieval.lexical_search(docs.where("false"), "doc", "text", asked, "q", "t", 4).count() == 0
+    assert retrieval.lexical_search(docs, "doc", "text", asked.where("false"), "q", "t", 4).count() == 0

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from minutario.session import shuffle_width
+
 THRESHOLD, LEAST_SHARED = 0.3, 2
+#: Items of a series that are compared in one block; cells of a tile of counts; terms of one matrix product.
+BLOCK, TILE, TERMS_AT_ONCE = 8192, 1 << 20, 2048
 
 
 def meeting_order(meeting_id: Column) -> Column:
@@ -40,36 +49,168 @@ def universe_size(items: DataFrame) -> DataFrame:
     return counts.groupBy("series_id").agg(((n * n - sq) / 2).cast("long").alias("universe"))
 
 
+def _least_needed(sizes: np.ndarray, threshold: float, least_shared: int) -> np.ndarray:
+    """For each size of a smaller set the least number of common terms that meets both conditions; it rises with the size."""
+    most = int(sizes.max(initial=0))
+    table, s = np.zeros(most + 1, np.float32), least_shared
+    for k in range(1, most + 1):
+        while s / k < threshold:
+            s += 1
+        table[k] = s
+    return table[sizes]
+
+
+def _shared_counts(rows: tuple[np.ndarray, np.ndarray], columns: tuple[np.ndarray, np.ndarray], n: int, m: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, counts of common terms as float32) for tiles of rows by all columns; both given as (item, term) entries."""
+    terms = np.intersect1d(rows[1], columns[1])
+    both = []
+    for item, term in (rows, columns):
+        at = np.minimum(np.searchsorted(terms, term), max(len(terms) - 1, 0))
+        known = terms[at] == term if len(terms) else np.zeros(len(term), bool)
+        both.append((item[known], at[known]))
+
+    def dense(side: int, low: int, high: int, first: int, count: int) -> np.ndarray:
+        item, term = both[side]
+        own = (item >= first) & (item < first + count) & (term >= low) & (term < high)
+        out = np.zeros((count, high - low), np.float32)
+        out[item[own] - first, term[own] - low] = 1
+        return out
+
+    step = max(1, TILE // max(m, 1))
+    slices = [(low, min(low + TERMS_AT_ONCE, len(terms))) for low in range(0, len(terms), TERMS_AT_ONCE)]
+    whole = [dense(k, *slices[0], 0, size) for k, size in enumerate((n, m))] if len(slices) == 1 else None
+    for first in range(0, n if slices else 0, step):
+        count = min(step, n - first)
+        if whole:
+            yield first, whole[0][first : first + count] @ whole[1].T
+        else:
+            yield first, sum(dense(0, low, high, first, count) @ dense(1, low, high, 0, m).T for low, high in slices)
+
+
+def _accepted(group: pa.RecordBatch, threshold: float, least_shared: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows earlier, rows later, shared counts, accepted) by tiles for the rows of one pair of blocks of one series."""
+    o, part = (group.column(c).to_numpy(zero_copy_only=False) for c in ("o", "part"))
+    terms = group.column("terms")
+    size = pc.list_value_length(terms).to_numpy(zero_copy_only=False).astype(np.int64)
+    code = terms.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    item = np.repeat(np.arange(len(o)), size)
+    needed = _least_needed(size, threshold, least_shared)
+    low, high = part.min(), part.max()
+
+    def entries(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.full(len(o), -1)
+        place[rows] = np.arange(len(rows))
+        own = place[item] >= 0
+        return place[item[own]], code[own]
+
+    for first, second in [(low, high), (high, low)] if low < high else [(low, low)]:
+        for place in np.unique(o):
+            rows, columns = np.flatnonzero((part == first) & (o == place)), np.flatnonzero((part == second) & (o > place))
+            if len(rows) and len(columns):
+                for at, shared in _shared_counts(entries(rows), entries(columns), len(rows), len(columns)):
+                    own = rows[at : at + len(shared)]
+                    yield own, columns, shared, shared >= np.minimum(needed[own][:, None], needed[columns][None, :])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each (series_id, low, high) in one batch, from batches sorted by these."""
+    held: list[pa.RecordBatch] = []
+
+    def whole() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = batch.column("series_id").dictionary_encode().indices.to_numpy()
+        keys = np.stack([names, *[batch.column(c).to_numpy() for c in ("low", "high")]])
+        starts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(0)])
+        for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+            own = batch.slice(start, end - start)
+            if held and any(held[-1].column(c)[0] != own.column(c)[0] for c in ("series_id", "low", "high")):
+                yield whole()
+                held = []
+            held.append(own)
+    if held:
+        yield whole()
+
+
+def _by_blocks(items: DataFrame, found: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """found over the items of every pair of blocks of a series; a series of up to BLOCK items is one block.
+
+    An item of a series of n is sent n / BLOCK times, so the shuffle grows with the items of large series times their
+    blocks, never with the pairs; a task holds two blocks.
+    """
+    base = items.where((F.size("terms") > 0) & F.col("series_id").isNotNull() & F.col("id").isNotNull()).withColumn("o", meeting_order(F.col("meeting_id"))).where("o is not null")
+    large = base.groupBy("series_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("parts > 1")
+    dealt = base.join(F.broadcast(large), "series_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))  # at most one row to BLOCK items
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sent = dealt.select("series_id", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "meeting_id", F.col("o").cast("int").alias("o"), "terms")
+    by = ["series_id", "low", "high"]
+    ordered = sent.repartition(shuffle_width(items.sparkSession), *by).sortWithinPartitions(*by)
+    return ordered.mapInArrow(lambda batches: (out for group in _groups(batches) for out in found(group)), schema)
+
+
 def scored_candidates(items: DataFrame, threshold: float = THRESHOLD, least_shared: int = LEAST_SHARED) -> DataFrame:
     """(series_id, earlier, later, ..., shared, score) with score >= threshold and shared >= least_shared (1 or more).
 
-    Inverted lists instead of the universe: ordered by rising frequency in the series, one of the smaller set's first
-    size - needed + 1 terms must be common. Equal to scoring all pairs, as a test shows; an empty set is in no pair.
+    Common terms are counted as products of 0/1 matrices, block by block of a series, and only pairs that meet both
+    conditions leave a task. Equal to scoring all pairs, as a test shows; an empty set is in no pair.
+    """
+    least_shared = max(least_shared, 1)
+    kind = {c: items.schema[c].dataType.simpleString() for c in ("series_id", "id", "meeting_id")}
+
+    def found(group: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        size = pc.list_value_length(group.column("terms")).to_numpy(zero_copy_only=False).astype(np.int32)
+        for rows, columns, shared, kept in _accepted(group, threshold, least_shared):
+            at, other = np.nonzero(kept)
+            a, b = rows[at], columns[other]
+            pick = lambda c, x: group.column(c).take(pa.array(x))
+            numbers = [pa.array(x.astype(np.int32)) for x in (shared[kept], size[a], size[b])]
+            yield pa.RecordBatch.from_arrays([pick("series_id", a), pick("id", a), pick("id", b), pick("meeting_id", a), pick("meeting_id", b), *numbers], names=["series_id", "earlier", "later", "earlier_meeting", "later_meeting", "shared", "na", "nb"])
+
+    schema = f"series_id {kind['series_id']}, earlier {kind['id']}, later {kind['id']}, earlier_meeting {kind['meeting_id']}, later_meeting {kind['meeting_id']}, shared int, na int, nb int"
+    return _by_blocks(items, found, schema).withColumn("score", F.col("shared") / F.least("na", "nb"))
+
+
+def candidate_counts(items: DataFrame, threshold: float = THRESHOLD, least_shared: int = LEAST_SHARED) -> DataFrame:
+    """(series_id, smaller, shared, n, score): scored_candidates counted by the smaller set's size and the common terms.
+
+    The pairs themselves never leave a task.
     """
-    n = F.size("terms")
-    base = items.where(n > 0).withColumn("o", meeting_order(F.col("meeting_id"))).where("o is not null")
-    exploded = base.select("series_id", "id", F.explode("terms").alias("term"))
-    frequency = exploded.groupBy("series_id", "term").agg(F.count("*").alias("f"))
-    ranked = (
-        exploded.join(frequency, ["series_id", "term"])
-        .groupBy("series_id", "id")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "term"))), lambda x: x["term"]).alias("ranked"))
-        .join(base.select("id", "series_id", "meeting_id", "o"), ["series_id", "id"])
-    )
-    size = F.size("ranked")
-    needed = F.greatest(F.lit(least_shared), F.ceil(size * threshold - 1e-9)).cast("int")
-    probe = ranked.where(size >= least_shared).select("series_id", F.col("id").alias("p"), F.col("o").alias("op"), size.alias("np"), F.explode(F.slice("ranked", 1, size - needed + 1)).alias("term"))
-    lists = ranked.select("series_id", F.col("id").alias("q"), F.col("o").alias("oq"), size.alias("nq"), F.explode("ranked").alias("term"))
-    met = probe.join(lists, ["series_id", "term"]).where("op <> oq and (np < nq or (np = nq and p <> q))")
-    first = F.col("op") < F.col("oq")
-    pairs = met.select("series_id", F.when(first, F.col("p")).otherwise(F.col("q")).alias("earlier"), F.when(first, F.col("q")).otherwise(F.col("p")).alias("later")).distinct()
-    a = ranked.select(F.col("id").alias("earlier"), F.col("meeting_id").alias("earlier_meeting"), F.col("ranked").alias("ta"))
-    b = ranked.select(F.col("id").alias("later"), F.col("meeting_id").alias("later_meeting"), F.col("ranked").alias("tb"))
-    both = pairs.join(a, "earlier").join(b, "later")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    scored = both.select("series_id", "earlier", "later", "earlier_meeting", "later_meeting", shared.alias("shared"), F.size("ta").alias("na"), F.size("tb").alias("nb"))
-    score = F.col("shared") / F.least("na", "nb")
-    return scored.withColumn("score", score).where((F.col("score") >= threshold) & (F.col("shared") >= least_shared))
+    least_shared = max(least_shared, 1)
+    kind = items.schema["series_id"].dataType.simpleString()
+
+    def found(group: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        size = pc.list_value_length(group.column("terms")).to_numpy(zero_copy_only=False).astype(np.int64)
+        width = int(size.max()) + 1
+        total = np.zeros(width * width, np.int64)
+        for rows, columns, shared, kept in _accepted(group, threshold, least_shared):
+            at, other = np.nonzero(kept)
+            cell = np.minimum(size[rows][at], size[columns][other]) * width + shared[kept].astype(np.int64)
+            total += np.bincount(cell, minlength=width * width)
+        cell = np.flatnonzero(total)
+        name = group.column("series_id").take(pa.array(np.zeros(len(cell), np.int64)))
+        yield pa.RecordBatch.from_arrays([name, pa.array((cell // width).astype(np.int32)), pa.array((cell % width).astype(np.int32)), pa.array(total[cell])], names=["series_id", "smaller", "shared", "n"])
+
+    counted = _by_blocks(items, found, f"series_id {kind}, smaller int, shared int, n long").groupBy("series_id", "smaller", "shared").agg(F.sum("n").alias("n"))
+    return counted.withColumn("score", F.col("shared") / F.col("smaller"))
+
+
+def candidate_members(items: DataFrame, threshold: float = THRESHOLD, least_shared: int = LEAST_SHARED) -> DataFrame:
+    """(id, earlier, later) of items that are in a scored candidate, and whether as the earlier or the later one."""
+    least_shared = max(least_shared, 1)
+    kind = items.schema["id"].dataType.simpleString()
+
+    def found(group: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sides = np.zeros((2, group.num_rows), bool)
+        for rows, columns, _, kept in _accepted(group, threshold, least_shared):
+            sides[0, rows] |= kept.any(1)
+            sides[1, columns] |= kept.any(0)
+        own = np.flatnonzero(sides.any(0))
+        yield pa.RecordBatch.from_arrays([group.column("id").take(pa.array(own)), *[pa.array(x[own]) for x in sides]], names=["id", "earlier", "later"])
+
+    return _by_blocks(items, found, f"id {kind}, earlier boolean, later boolean").groupBy("id").agg(F.bool_or("earlier").alias("earlier"), F.bool_or("later").alias("later"))
 
 
 def numbered(pairs: DataFrame, infix: str = "p") -> DataFrame:

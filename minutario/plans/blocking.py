@@ -79,8 +79,8 @@ GRID = [(t, m) for t in (0.3, 0.4, 0.5, 0.6) for m in (1, 2, 3)]
 def a09(spark: SparkSession, folder: str) -> DataFrame:
     """All cells in one pass over the loosest candidates; the universe's size comes from counts."""
     own = items(spark, folder)
-    loosest = P.scored_candidates(own, min(t for t, _ in GRID), min(m for _, m in GRID))
-    cells = loosest.agg(*[F.count_if((F.col("score") >= t) & (F.col("shared") >= m)).alias(f"{t}_{m}") for t, m in GRID])
+    loosest = P.candidate_counts(own, min(t for t, _ in GRID), min(m for _, m in GRID))
+    cells = loosest.agg(*[F.coalesce(F.sum(F.when((F.col("score") >= t) & (F.col("shared") >= m), F.col("n"))), F.lit(0)).alias(f"{t}_{m}") for t, m in GRID])
     long = cells.select(F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.lit(m).cast("long").alias("least_shared"), F.col(f"`{t}_{m}`").alias("n_candidates")) for t, m in GRID])).alias("c")).select("c.*")
     total = P.universe_size(own).agg(F.sum("universe").alias("all"))
     return long.crossJoin(total).select("threshold", "least_shared", "n_candidates", rounded(100 * F.col("n_candidates") / F.col("all")).alias("percent"))

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -45,6 +46,24 @@ def test_candidates_equal_the_scored_universe(spark, rows, point):
     assert {k: v for k, v in universe.items() if v} == full
 
 
+def test_candidates_counts_and_members_by_blocks(spark, monkeypatch):
+    """Blocks of 7 items, tiles of 5 cells and products of 3 terms give the pairs, counts and members of the universe."""
+    for name, value in (("BLOCK", 7), ("TILE", 5), ("TERMS_AT_ONCE", 3)):
+        monkeypatch.setattr(pairs, name, value)
+    draw = random.Random(3)
+    rows = [(f"d{i}", s, s + draw.choice("abcdx"), draw.sample("pqrstuvw", draw.randrange(6))) for s, n in (("A", 50), ("B", 7), ("C", 8), ("D", 1)) for i in range(100 * ord(s), 100 * ord(s) + n)]
+    df = spark.createDataFrame([*rows, ("e", None, "Aa", ["p", "q"]), (None, "A", "Aa", ["p", "q"])], "id string, series_id string, meeting_id string, terms array<string>")
+    universe = pairs.chronological_pairs(df).where("later is not null").select("series_id", "earlier", "later", F.size(F.array_intersect("ta", "tb")).alias("shared"), F.least(F.size("ta"), F.size("tb")).alias("smaller"))
+    for t, m in ((0.3, 2), (0.6, 1)):
+        wanted = [r for r in universe.collect() if r.earlier and r.smaller and r.shared >= m and r.shared / r.smaller >= t]
+        assert sorted((r.earlier, r.later, r.shared) for r in pairs.scored_candidates(df, t, m).collect()) == sorted((r.earlier, r.later, r.shared) for r in wanted) != []
+        counts = Counter((r.series_id, r.smaller, r.shared) for r in wanted)
+        assert {(r.series_id, r.smaller, r.shared): r.n for r in pairs.candidate_counts(df, t, m).collect()} == counts
+        members = pairs.candidate_members(df, t, m).collect()
+        assert {r.id for r in members if r.earlier} == {r.earlier for r in wanted} and {r.id for r in members if r.later} == {r.later for r in wanted}
+    assert pairs.candidate_counts(df.where("false")).count() == pairs.scored_candidates(df.where("false")).count() == 0
+
+
 def test_set_similarity_of_empty_sets(spark):
     df = spark.createDataFrame([(["a", "b"], ["b"]), ([], ["b"]), ([], [])], "a array<string>, b array<string>")
     got = df.select(pairs.overlap_coefficient(F.col("a"), F.col("b")), pairs.jaccard(F.col("a"), F.col("b"))).collect()

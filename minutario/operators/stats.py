@@ -245,22 +245,41 @@ def kendall_by_group(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
 
 
 def local_outlier_factors(df: DataFrame, by: str, key: str, columns: Sequence[str], neighbours: int = 20) -> DataFrame:
-    """(by, key, factor): density-based outliers inside groups of bounded size; 1 is usual, more is sparser."""
+    """(by, key, factor): density-based outliers inside groups; 1 is usual, more is sparser.
+
+    Of neighbours at equal distance the lower key counts. A task holds a group's points and one row of distances.
+    """
     import numpy as np
     import pandas as pd
 
     kinds = {c: df.schema[c].dataType.simpleString() for c in (by, key)}
 
     def factors(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(key)
         x = frame[list(columns)].to_numpy(float)
         k = min(neighbours, len(x) - 1)
         if k < 1:
             return frame[[by, key]].assign(factor=1.0)
-        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-        np.fill_diagonal(d, np.inf)
-        near = np.argsort(d, 1, kind="stable")[:, :k]
-        radius = np.take_along_axis(d, near[:, -1:], 1)[:, 0]
-        reach = np.maximum(np.take_along_axis(d, near, 1), radius[near])
+        # Points at one place share their distances: each place gives its first k + 1 points, and the k + 1 nearest of
+        # these are enough for every point there, itself left out.
+        places, at = np.unique(x, axis=0, return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        starts = np.r_[np.flatnonzero(np.r_[True, np.diff(at[order]) > 0]), len(x)]
+        near, dist = np.empty((len(x), k), np.int64), np.empty((len(x), k))
+        enough = min(k + 1, len(places))
+        for place in range(len(places)):
+            d = np.sqrt(((places - places[place]) ** 2).sum(-1))
+            close = np.flatnonzero(d <= np.partition(d, enough - 1)[enough - 1])
+            points = np.concatenate([order[starts[c] : min(starts[c] + k + 1, starts[c + 1])] for c in close])
+            away = d[at[points]]
+            first = np.lexsort((points, away))[: k + 1]
+            points, away = points[first], away[first]
+            own = order[starts[place] : starts[place + 1]]
+            near[own], dist[own] = points[:k], away[:k]
+            for j in np.flatnonzero(at[points[:k]] == place):
+                near[points[j]], dist[points[j]] = np.delete(points, j), np.delete(away, j)
+        radius = dist[:, -1]
+        reach = np.maximum(dist, radius[near])
         density = 1 / np.maximum(reach.mean(1), 1e-10)
         return frame[[by, key]].assign(factor=density[near].mean(1) / density)
 

@@ -286,3 +286,26 @@ def test_lexical_search_equals_the_best_of_bm25_in_batches(spark, monkeypatch):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in wanted.collect()} != set()
     assert retrieval.lexical_search(docs.where("false"), "doc", "text", asked, "q", "t", 4).count() == 0
     assert retrieval.lexical_search(docs, "doc", "text", asked.where("false"), "q", "t", 4).count() == 0
+
+
+def test_local_outliers_with_ties_whatever_the_order(spark):
+    """Equal to all distances with ties by key, for any order of the rows; many points share a place."""
+    draw = random.Random(1)
+    rows = [(g, f"{g}{i:03d}", float(draw.randrange(6)), float(draw.randrange(4))) for g, n in (("a", 90), ("b", 3), ("c", 1), ("d", 6)) for i in range(n)] + [("a", "far", 40.0, 40.0), ("b", "none", None, 1.0)]
+    wanted = {}
+    for g in "abcd":
+        own = sorted(r for r in rows if r[0] == g and None not in r)
+        x = np.array([r[2:] for r in own])
+        k = min(5, len(own) - 1)
+        if k < 1:
+            wanted |= {r[1]: 1.0 for r in own}
+            continue
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        np.fill_diagonal(d, np.inf)
+        near = np.argsort(d, 1, kind="stable")[:, :k]
+        density = 1 / np.maximum(np.maximum(np.take_along_axis(d, near, 1), np.sort(d, 1)[:, k - 1][near]).mean(1), 1e-10)
+        wanted |= dict(zip([r[1] for r in own], density[near].mean(1) / density))
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "g string, k string, a double, b double").coalesce(1)
+        assert {r.k: round(r.factor, 9) for r in stats.local_outlier_factors(df, "g", "k", ["a", "b"], 5).collect()} == {k: round(v, 9) for k, v in wanted.items()}

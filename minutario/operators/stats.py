@@ -106,7 +106,7 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     groups = ranked.groupBy(group).agg(F.count("*").alias("n"), F.sum("rank").alias("r"))
     core = groups.agg(F.sum("n").alias("n"), F.count("*").alias("n_groups"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"))
     ties = ranked.select(value, "ties").distinct().agg(F.sum(F.pow("ties", F.lit(3)) - F.col("ties")).alias("t"))
-    n = F.col("n")
+    n = F.col("n").cast("double")  # the cube of a count above two million is too large for a long
     h = (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / (1 - F.col("t") / (n * n * n - n))
     return core.crossJoin(ties).select("n", "n_groups", h.alias("h"), (h / (n - 1)).alias("epsilon_squared"))
 

@@ -309,3 +309,9 @@ def test_local_outliers_with_ties_whatever_the_order(spark):
         random.Random(seed).shuffle(rows)
         df = spark.createDataFrame(rows, "g string, k string, a double, b double").coalesce(1)
         assert {r.k: round(r.factor, 9) for r in stats.local_outlier_factors(df, "g", "k", ["a", "b"], 5).collect()} == {k: round(v, 9) for k, v in wanted.items()}
+
+
+def test_kruskal_of_three_million_rows(spark):
+    df = spark.range(3_000_000).select((F.col("id") % 3).alias("g"), (F.col("id") % 7).cast("double").alias("v"))
+    r = stats.kruskal(df, "v", "g").collect()[0]
+    assert (r.n, r.n_groups) == (3_000_000, 3) and abs(r.h) < 1e-3

@@ -220,7 +220,7 @@ def numbered(pairs: DataFrame, infix: str = "p") -> DataFrame:
 
 
 def rejected_population(items: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(series_id, universe, candidates, rejected): the complement's size by arithmetic."""
-    kept = candidates.groupBy("series_id").agg(F.count("*").alias("candidates"))
+    """(series_id, universe, candidates, rejected): the complement's size by arithmetic from candidate_counts."""
+    kept = candidates.groupBy("series_id").agg(F.sum("n").alias("candidates"))
     both = universe_size(items).join(kept, "series_id", "left").na.fill(0, ["candidates"])
     return both.withColumn("rejected", F.col("universe") - F.col("candidates"))

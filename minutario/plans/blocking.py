@@ -56,7 +56,7 @@ def j03(spark: SparkSession, folder: str) -> DataFrame:
 )
 def j04(spark: SparkSession, folder: str) -> DataFrame:
     own = items(spark, folder)
-    return P.rejected_population(own, P.scored_candidates(own))
+    return P.rejected_population(own, P.candidate_counts(own))
 
 
 @query(

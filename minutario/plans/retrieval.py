@@ -149,9 +149,9 @@ def m17(spark: SparkSession, folder: str) -> DataFrame:
 def t09(spark: SparkSession, folder: str) -> DataFrame:
     """Intervals that resample meetings: decisions hit by a candidate pair, as predictions and as references."""
     d = decisions(spark, folder).select("decision_id", "series_id", "meeting_id")
-    scored = P.scored_candidates(items(spark, folder))
-    hit = lambda c: d.join(scored.select(F.col(c).alias("decision_id")).distinct().withColumn("h", F.lit(1)), "decision_id", "left").groupBy("series_id", "meeting_id").agg(F.count("h").alias("hits"), F.count("*").alias("n"))
-    counts = hit("later").select("series_id", "meeting_id", F.col("hits").alias("hits_p"), F.col("n").alias("n_p")).join(hit("earlier").select("series_id", "meeting_id", F.col("hits").alias("hits_r"), F.col("n").alias("n_r")), ["series_id", "meeting_id"])
+    members = P.candidate_members(items(spark, folder)).withColumnRenamed("id", "decision_id")
+    hits = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    counts = d.join(members, "decision_id", "left").where("series_id is not null and meeting_id is not null").groupBy("series_id", "meeting_id").agg(hits("later").alias("hits_p"), F.count("*").alias("n_p"), hits("earlier").alias("hits_r"), F.count("*").alias("n_r"))
     out = intervals.cluster_bootstrap_prf(counts, "series_id", "meeting_id", n=200)
     return out.select(*[rounded(c).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 

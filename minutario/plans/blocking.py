@@ -89,7 +89,8 @@ def a09(spark: SparkSession, folder: str) -> DataFrame:
 @query("a10_candidate_funnel", f"with {SCORED} select count(*) as universe, count(*) filter (score >= 0.3) as by_score, count(*) filter (score >= 0.3 and shared >= 2) as by_both, round(count(*) filter (score >= 0.3 and shared >= 2) * 1.5 / 60, 6) as hours from scored")
 def a10(spark: SparkSession, folder: str) -> DataFrame:
     own = items(spark, folder)
-    one = P.scored_candidates(own, P.THRESHOLD, 1).agg(F.count("*").alias("by_score"), F.count_if(F.col("shared") >= 2).alias("by_both"))
+    n = lambda least: F.coalesce(F.sum(F.when(F.col("shared") >= least, F.col("n"))), F.lit(0))
+    one = P.candidate_counts(own, P.THRESHOLD, 1).agg(n(1).alias("by_score"), n(2).alias("by_both"))
     return P.universe_size(own).agg(F.sum("universe").alias("universe")).crossJoin(one).select("universe", "by_score", "by_both", rounded(F.col("by_both") * 1.5 / 60).alias("hours"))
 
 

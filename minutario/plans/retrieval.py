@@ -166,8 +166,9 @@ def f04(spark: SparkSession, folder: str) -> DataFrame:
 @query("l06_best_threshold", f"with {SCORED}, g as (select t, count(*) filter (score >= t and shared >= 2) as n, avg(shared) filter (score >= t and shared >= 2) as s from scored cross join (values (0.3), (0.4), (0.5), (0.6)) as g(t) group by t) select t::double as threshold, n, round(s, 6) as mean_shared from g where n > 0 and s >= 0.9 * (select max(s) from g where n > 0) order by t limit 1")
 def l06(spark: SparkSession, folder: str) -> DataFrame:
     """Of the thresholds within a margin of the best mean overlap, the loosest."""
-    s = P.scored_candidates(items(spark, folder))
-    cells = s.agg(*[F.struct(F.lit(t).alias("threshold"), F.count_if(F.col("score") >= t).alias("n"), F.avg(F.when(F.col("score") >= t, F.col("shared"))).alias("m")).alias(f"c{k}") for k, t in enumerate((0.3, 0.4, 0.5, 0.6))])
+    s = P.candidate_counts(items(spark, folder))
+    over = lambda t, value: F.sum(F.when(F.col("score") >= t, value))
+    cells = s.agg(*[F.struct(F.lit(t).alias("threshold"), F.coalesce(over(t, F.col("n")), F.lit(0)).alias("n"), (over(t, F.col("n") * F.col("shared")) / over(t, F.col("n"))).alias("m")).alias(f"c{k}") for k, t in enumerate((0.3, 0.4, 0.5, 0.6))])
     long = cells.select(F.explode(F.array(*cells.columns)).alias("c")).select("c.*").where("n > 0")
     best = long.agg(F.max("m").alias("best"))
     return long.crossJoin(best).where("m >= 0.9 * best").orderBy("threshold").limit(1).select("threshold", "n", rounded("m").alias("mean_shared"))

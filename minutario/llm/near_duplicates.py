@@ -1,18 +1,20 @@
-"""Near-duplicate records with small edits (problem 1): weighted HyperMinHash sketches, banded, estimated, verified."""
+"""Near-duplicate records with small edits (problem 1): weighted HyperMinHash sketches, banded, filtered by bitmaps, verified."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from minutario.functions.text import ascii_words
 from minutario.llm.buckets import block_pairs_with, bucket_candidates
 from minutario.llm.components import connected_components
-from minutario.session import cut
+from minutario.session import cut, stored
 from minutario.versions import latest
 
 #: A word in more than this share of the texts counts as common and gets COMMON_WEIGHT in the sketches. At most
@@ -21,14 +23,13 @@ COMMON_SHARE, COMMON_WEIGHT = 0.02, 0.4
 #: A hash function deals the words to BUCKETS registers, which make one band; BANDS functions. A pair of weighted
 #: similarity s shares a band with a probability of 1 - (1 - s^5)^56.
 BUCKETS, BANDS = 5, 56
-#: Registers of the short signature that travels with a band key, eight bits each; the last byte is the set's size.
-SIGNATURE = 23
+#: Bands that are shuffled at once, so the disk holds an eighth of all band rows; up to SMALL_ROWS go in one pass.
+BANDS_AT_ONCE, SMALL_ROWS = 7, 4_000_000
+#: Bits of the bitmap of words that travels with a band key; the last 16 bits of its three longs are the set's size.
+BITMAP = 176
 MANTISSA_BITS = 10
 #: Members of a part of a large group whose pairs are written out.
 PAIR_PART = 1000
-#: Pairs go on when their estimated weighted similarity is at least this. Sets with a plain similarity of 0.7 have a
-#: weighted one of 0.48 at the worst; 23 registers estimate it with a deviation of 0.1.
-LEAST_ESTIMATE = 0.22
 
 _M64 = 0xFFFFFFFFFFFFFFFF
 
@@ -65,8 +66,21 @@ def sketch(codes: np.ndarray, vocabulary: np.ndarray, common: np.ndarray, starts
     return out
 
 
-def _band_rows(batches: Iterator[pa.RecordBatch], common_hashes: np.ndarray, bands: int) -> Iterator[pa.RecordBatch]:
-    """(id, hashes) -> one row for each band: key, id and the signature with the size, up to 255, as three longs."""
+def _marked_sets(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
+    """(key, hashes) of sets with enough words, with two sums of hash functions that are equal for equal sets only."""
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            batch = batch.filter(pc.fill_null(pc.greater_equal(pc.list_value_length(batch.column("words")), max(least_words, 1)), False))
+            if not batch.num_rows:
+                continue
+            words = batch.column("words")
+            flat, offsets = words.flatten().to_numpy(zero_copy_only=False).view(np.uint64), words.offsets.to_numpy()
+            marks = [np.add.reduceat(_mixed(flat, seed), (offsets[:-1] - offsets[0]).astype(np.int64)).view(np.int64) for seed in (101, 102)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *map(pa.array, marks), words], names=["key", "m0", "m1", "words"])
+
+
+def _band_rows(batches: Iterator[pa.RecordBatch], common_hashes: np.ndarray, bands: range) -> Iterator[pa.RecordBatch]:
+    """(id, hashes) -> one row for each band: key, id and the bitmap with the size, up to 65535, as three longs."""
     with np.errstate(over="ignore"):
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
@@ -78,15 +92,13 @@ def _band_rows(batches: Iterator[pa.RecordBatch], common_hashes: np.ndarray, ban
             vocabulary, codes = np.unique(flat, return_inverse=True)
             starts = (offsets[:-1] - offsets[0]).astype(np.int64)
             common = np.isin(vocabulary, common_hashes)
-            functions = -(-SIGNATURE // BUCKETS)
-            short = sketch(codes, vocabulary, common, starts, range(functions))[:SIGNATURE]
-            # Eight bits of a register: three of the zeros' count, five of the mantissa.
-            low = (((short >> np.uint16(MANTISSA_BITS)) & np.uint16(7)) << np.uint16(5)) | ((short >> np.uint16(MANTISSA_BITS - 5)) & np.uint16(31))
-            low[short == 0] = 0
-            size = np.minimum(np.diff(offsets), 255)
-            signature = np.ascontiguousarray(np.vstack([low, size]).astype(np.uint8).T).view(np.int64).reshape(len(ids), 3)
-            for band in range(bands):
-                regs = sketch(codes, vocabulary, common, starts, range(functions + band, functions + band + 1))
+            place = (_mixed(vocabulary, 103) % np.uint64(BITMAP))[codes]
+            bit = np.uint64(1) << (place & np.uint64(63))
+            signature = np.stack([np.bitwise_or.reduceat(np.where(place >> np.uint64(6) == k, bit, np.uint64(0)), starts) for k in range(3)], 1)
+            signature[:, 2] |= np.minimum(np.diff(offsets), 65535).astype(np.uint64) << np.uint64(48)
+            signature = signature.view(np.int64)
+            for band in bands:
+                regs = sketch(codes, vocabulary, common, starts, range(band, band + 1))
                 key = np.full(len(ids), np.uint64(band + 1))
                 for r in regs:
                     key = _mixed(key * np.uint64(0x100000001B3) + r.astype(np.uint64), 0)
@@ -96,40 +108,30 @@ def _band_rows(batches: Iterator[pa.RecordBatch], common_hashes: np.ndarray, ban
                 )
 
 
-def _least_matches() -> int:
-    """Equal signature registers that a pair needs: the estimate is corrected for registers equal by chance.
+def _close(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Pairs whose sizes and bitmaps allow the threshold; none that reaches it is lost.
 
-    Two different least values share eight register bits with a probability of about 2^-5 / 3, as leading zeros follow
-    a geometric law; solving matches / n = J + (1 - J) * chance for J gives the corrected estimate.
+    Sets of n and m words with a similarity of t differ in (n + m) * (1 - t) / (1 + t) words; bitmaps differ in as many
+    bits at most.
     """
-    chance = 2.0**-5 / 3
-    return int(np.ceil(SIGNATURE * (LEAST_ESTIMATE + (1 - LEAST_ESTIMATE) * chance)))
-
-
-def _close(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs whose sizes allow the threshold and whose estimate suffices."""
-    bytes_ = [np.ascontiguousarray(rows[f"s{k}"]).view(np.uint8).reshape(-1, 8) for k in range(3)]
-    size = bytes_[2][:, 7].astype(np.float64)
+    bits = [rows[f"s{k}"].view(np.uint64) for k in range(3)]
+    size = (bits[2] >> np.uint64(48)).astype(np.float64)
     near = np.flatnonzero(np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]))
     x, y = i[near], j[near]
-    equal = sum((s[x] == s[y]).sum(1) for s in bytes_[:2]) + (bytes_[2][x, :7] == bytes_[2][y, :7]).sum(1)
+    differing = sum(np.bitwise_count(b[x] ^ b[y]).astype(np.int64) for b in bits[:2]) + np.bitwise_count((bits[2][x] ^ bits[2][y]) & np.uint64(0xFFFFFFFFFFFF))
+    both = size[x] + size[y]
     out = np.zeros(len(i), bool)
-    out[near[equal >= _least_matches()]] = True
+    out[near[(differing <= both * (1 - threshold) / (1 + threshold) + 1e-9) | (np.maximum(size[x], size[y]) >= 65535)]] = True
     return out
 
 
 def _close_columns(left: str, right: str, threshold: float) -> Column:
-    """The same test on columns: bytes that are zero in the exclusive or."""
-    differing = F.lit(0)
-    for k in range(3):
-        x = F.col(f"{left}.s{k}").bitwiseXOR(F.col(f"{right}.s{k}"))
-        if k == 2:
-            x = x.bitwiseAND(F.lit(0x00FFFFFFFFFFFFFF))
-        for shift in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        differing = differing + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-    sizes = [F.shiftrightunsigned(F.col(f"{side}.s2"), 56) for side in (left, right)]
-    return (F.least(*sizes) >= threshold * F.greatest(*sizes)) & (differing <= SIGNATURE - _least_matches())
+    """The same test on columns."""
+    x = [F.col(f"{left}.s{k}").bitwiseXOR(F.col(f"{right}.s{k}")) for k in range(3)]
+    differing = F.bit_count(x[0]) + F.bit_count(x[1]) + F.bit_count(x[2].bitwiseAND(F.lit(0xFFFFFFFFFFFF)))
+    sizes = [F.shiftrightunsigned(F.col(f"{side}.s2"), 48) for side in (left, right)]
+    may = (differing <= (sizes[0] + sizes[1]) * ((1 - threshold) / (1 + threshold)) + 1e-9) | (F.greatest(*sizes) >= 65535)
+    return (F.least(*sizes) >= threshold * F.greatest(*sizes)) & may
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -150,38 +152,44 @@ def near_duplicate_groups(records: DataFrame, key: str, words: str, threshold: f
 
     class_id and group_id are the least keys of the class and the group, so they don't depend on the partitioning.
 
-    Sketches of BUCKETS * BANDS registers are banded; inside a bucket the corrected estimate over a short
-    signature picks the pairs that are verified exactly. A pair shares some band with a probability of 94 % at a
+    Sketches of BUCKETS * BANDS registers are banded; inside a bucket the sizes and a bitmap of the words leave out
+    pairs that can't reach the threshold, the rest is verified exactly. Bands are shuffled BANDS_AT_ONCE at a time. A pair shares some band with a probability of 94 % at a
     weighted similarity of 0.55 (the lowest thousandth of the links in the test data), 99.3 % at 0.61 (the lowest
     hundredth) and 99.98 % at 0.68. Buckets above a block's size first give links to their first row and their
     neighbours; only rows outside such a bucket's largest component are then compared with all of its blocks, so a
     group of near copies with a third of all rows costs time in proportion to its size.
     """
-    own = records.where(F.size(words) >= least_words).select(F.col(key).alias("key"), F.col(words).alias("text_words"))
-    marked = own.withColumn("mark", F.md5(F.concat_ws(" ", "text_words")))
-    classes = marked.groupBy("mark").agg(F.first("text_words").alias("w"), F.min("key").alias("least"))
-    hashed = F.transform("w", lambda x: F.xxhash64(x))
-    classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "mark", "least", hashed.alias("words")))
+    # Python takes the words, so they are worked out once: a filter on them would evaluate their expression again.
+    hashed = records.select(F.col(key).alias("key"), F.transform(words, lambda x: F.xxhash64(x)).alias("words"))
+    kind = records.schema[key].dataType.simpleString()
+    marked = stored(hashed.mapInArrow(lambda batches: _marked_sets(batches, least_words), f"key {kind}, m0 bigint, m1 bigint, words array<bigint>"))
+    classes = marked.groupBy("m0", "m1").agg(F.first("words").alias("words"), F.min("key").alias("least"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "m0", "m1", "least", "words"))
 
     total = classes.count()
     counts = classes.select(F.explode("words").alias("word")).groupBy("word").count()
     common = np.array([r[0] for r in counts.where(F.col("count") > COMMON_SHARE * total).select("word").collect()], np.int64).view(np.uint64)
 
-    def banded(rows: DataFrame, bands: int) -> DataFrame:
+    def banded(rows: DataFrame, bands: range) -> DataFrame:
         return rows.mapInArrow(lambda batches: _band_rows(batches, common, bands), "key bigint, id bigint, " + ", ".join(f"s{k} bigint" for k in range(3)))
 
     sets = classes.select("id", "words")
-    found = cut(bucket_candidates(banded(sets, BANDS), lambda rows, i, j: _close(rows, i, j, threshold), near=8))
-    links = cut(_linked(found.where("b is not null"), sets, threshold))
+    step = BANDS if total * BANDS <= SMALL_ROWS else BANDS_AT_ONCE
+    passes = []
+    for first in range(0, BANDS, step):
+        bands = range(first, min(first + step, BANDS))
+        passes.append(stored(bucket_candidates(banded(sets, bands), lambda rows, i, j: _close(rows, i, j, threshold), near=8).distinct()))
+        found = reduce(DataFrame.unionByName, passes)
+    links = stored(_linked(found.where("b is not null"), sets, threshold))
     tree = connected_components(links, "a", "b")
     hot = found.where("key is not null")
     if not hot.isEmpty():
         tree = cut(tree)
         links = links.unionByName(_links_between_components(hot, banded, tree, sets, threshold))
-        tree = connected_components(cut(links), "a", "b")
-    grouped = classes.select("id", "mark", "least").join(tree.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        tree = connected_components(links, "a", "b")
+    grouped = classes.select("id", "m0", "m1", "least").join(tree.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = grouped.groupBy("root").agg(F.min("least").alias("group_id"))
-    return marked.join(grouped.join(least, "root"), "mark").select(F.col("key").alias(key), F.col("least").alias("class_id"), "group_id").distinct()
+    return marked.select("key", "m0", "m1").join(grouped.join(least, "root"), ["m0", "m1"]).select(F.col("key").alias(key), F.col("least").alias("class_id"), "group_id").distinct()
 
 
 def _links_between_components(hot: DataFrame, banded, tree: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -190,10 +198,10 @@ def _links_between_components(hot: DataFrame, banded, tree: DataFrame, sets: Dat
     members = members.withColumn("root", F.coalesce("root", "id"))
     sizes = members.groupBy("key", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("components")).where("components > 1").select("key", F.col("m.root").alias("main"))
-    members = cut(members.join(largest, "key"))
-    signed = members.join(banded(sets.join(members.select("id").distinct(), "id", "left_semi"), 1).drop("key"), "id")
+    members = stored(members.join(largest, "key"))
+    signed = members.join(banded(sets.join(members.select("id").distinct(), "id", "left_semi"), range(1)).drop("key"), "id")
     pairs = block_pairs_with(signed.where("root <> main"), signed, lambda l, r: (F.col(f"{l}.root") != F.col(f"{r}.root")) & _close_columns(l, r, threshold))
-    return _linked(pairs, sets, threshold)
+    return stored(_linked(stored(pairs.distinct()), sets, threshold))
 
 
 def decision_word_sets(decisions: DataFrame) -> DataFrame:

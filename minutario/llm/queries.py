@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from minutario.functions.text import decision_id, plain_label
 from minutario.llm import answers, components, consensus, leakage, near_duplicates, overlap_join, packing, residue, splitter
 from minutario.schemas import RELATION_LABELS, STATUS_LABELS, TYING_RELATIONS
-from minutario.session import cut
+from minutario.session import cut, stored
 from minutario.versions import latest
 
 
@@ -35,7 +35,7 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates.pairs_in_groups(cut(p1_groups(spark, folder)), "decision_id", "group_id")
+    return near_duplicates.pairs_in_groups(stored(p1_groups(spark, folder)), "decision_id", "group_id")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

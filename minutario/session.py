@@ -1,12 +1,15 @@
-"""Session settings and the one place where lineage is cut."""
+"""Session settings and the one place where lineage is cut and tables are put by."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "minutario") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
@@ -43,6 +46,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like cut, for large tables: compressed columns in the checkpoint folder.
+
+    Shuffle files of the step are deleted once it is written; else they stay until the driver happens to collect garbage.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4()}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(folder)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions of an explicit repartition: the session's own setting, which grows with the input on a cluster."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -437,3 +437,27 @@ def test_residue_groups_decide_for_messages_and_fields_that_no_rule_lists(spark)
 def test_residue_filler_needs_the_passage_close_together(spark):
     rows = [(0, "Lorem fooble ipsum barble dolor quux amet done.", "a"), (1, "El dolor que sintió fue enorme y la culpa no era de nadie.", "a"), (2, "lorem ipsum", "a")]
     assert {r.doc_id for r in residue.residue_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()} == {0}
+
+
+def test_near_duplicates_in_passes_keep_no_shuffle_files_and_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "SMALL_ROWS", 0)
+    base = [f"w{i}" for i in range(20)]
+    data = [("a", base), ("b", base[:19] + ["x"]), ("c", base[:16]), ("d", [f"v{i}" for i in range(20)]), ("e", base[::-1])]
+    found = {tuple(r) for r in near_duplicates.near_duplicate_groups(spark.createDataFrame(data, "k string, w array<string>"), "k", "w").collect()}
+    assert found == {("a", "a", "a"), ("b", "b", "a"), ("c", "c", "a"), ("d", "d", "d"), ("e", "a", "a")}
+
+
+def test_bitmaps_pass_every_pair_that_reaches_the_threshold():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(400):
+        words = rng.integers(-2**62, 2**62, 400)
+        n = int(rng.integers(8, 300))
+        sets += [words[:n], words[int(0.3 * n) : n]]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(sets))), pa.array(sets, pa.list_(pa.int64()))], names=["id", "words"])
+    out = next(near_duplicates._band_rows(iter([batch]), np.array([], np.uint64), range(1)))
+    rows = {c: out.column(c).to_numpy() for c in out.schema.names}
+    assert near_duplicates._close(rows, np.arange(0, 800, 2), np.arange(1, 800, 2), 0.7).all()
+    assert not near_duplicates._close(rows, np.arange(0, 798, 2), np.arange(2, 800, 2), 0.7)[[len(sets[i]) < 40 and len(sets[i + 2]) < 40 for i in range(0, 798, 2)]].any()

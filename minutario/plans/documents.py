@@ -90,7 +90,10 @@ def r13_retrieval(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def retrieval_grid(spark: SparkSession, folder: str, sizes: tuple, overlaps: tuple, ks: tuple, modes: tuple) -> DataFrame:
-    """(size, overlap, mode, k, n_queries, mean_recall, n_chunks): chunks and channels are made once for each size and overlap."""
+    """(size, overlap, mode, k, n_queries, mean_recall, n_chunks): chunks and channels are made once for each size and overlap.
+
+    Each cell is finished on its own: the driver plans and keeps one cell at a time, whatever the size of the grid.
+    """
     documents, items = table(spark, folder, "documents").where("text is not null").select("doc_id", "text").distinct(), table(spark, folder, "eval_items")
     cells = []
     for size in sizes:
@@ -101,7 +104,7 @@ def retrieval_grid(spark: SparkSession, folder: str, sizes: tuple, overlaps: tup
             n = pieces.agg(F.count("*").alias("n_chunks"))
             for mode in modes:
                 scores = R.passage_recall(R.hybrid(lexical, dense, max(ks), mode), pieces, "doc", "text", items, "item_id", "passage", ks)
-                cells.append(scores.crossJoin(F.broadcast(n)).select(F.lit(size).alias("size"), F.lit(overlap).alias("overlap"), F.lit(mode).alias("mode"), "k", "n_queries", "mean_recall", "n_chunks"))
+                cells.append(cut(scores.crossJoin(F.broadcast(n)).select(F.lit(size).alias("size"), F.lit(overlap).alias("overlap"), F.lit(mode).alias("mode"), "k", "n_queries", "mean_recall", "n_chunks")))
     return reduce(DataFrame.unionByName, cells)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from minutario.session import shuffle_width
+from minutario.session import shuffle_width, stored
 
 THRESHOLD, LEAST_SHARED = 0.3, 2
 #: Items of a series that are compared in one block; cells of a tile of counts; terms of one matrix product.
@@ -135,6 +135,38 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield whole()
 
 
+def comparable(items: DataFrame) -> DataFrame:
+    """Items that can be in a pair, with o, the order of their meeting."""
+    known = (F.size("terms") > 0) & F.col("series_id").isNotNull() & F.col("id").isNotNull()
+    return items.where(known).select("series_id", "id", "meeting_id", "terms", meeting_order(F.col("meeting_id")).cast("int").alias("o")).where("o is not null")
+
+
+def by_meetings(base: DataFrame, found: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, block: int | None = None) -> DataFrame:
+    """found over the items of every two places in the order of a series' meetings, sorted by whether they are the later ones and by id.
+
+    base is of comparable. Each item is sent three times, and no pair leaves a task before it is counted, matched or
+    numbered. With a block the earlier items are dealt to tasks by that many in order of id, and the later ones are sent
+    to each of these; the column high is the number of the block, low the two places.
+    """
+    one = F.array(F.lit(0))
+    dealt = base.select("*", one.alias("own"), F.array(*[one] * 4).alias("blocks"))
+    if block:
+        nth = F.row_number().over(W.partitionBy("series_id", "o").orderBy("id"))
+        bounds = base.select("series_id", "o", "id", nth.alias("nth")).where((F.col("nth") - 1) % block == 0).groupBy("series_id", "o").agg(F.array_sort(F.collect_list("id")).alias("from"))
+        sides = bounds.groupBy("series_id").agg(*[F.first(F.when(F.col("o") == o, F.col("from")), True).alias(f"f{o}") for o in range(4)])
+        froms = F.array(*[F.coalesce(f"f{o}", F.array().cast(f"array<{base.schema['id'].dataType.simpleString()}>")) for o in range(4)])
+        dealt = base.join(F.broadcast(sides), "series_id").withColumn("froms", froms)
+        own = F.size(F.filter(F.get("froms", F.col("o")), lambda x: x <= F.col("id"))) - 1
+        blocks = F.transform("froms", lambda x: F.when(F.size(x) > 0, F.sequence(F.lit(0), F.size(x) - 1)).otherwise(F.array().cast("array<int>")))
+        dealt = dealt.select(*base.columns, F.array(own).alias("own"), blocks.alias("blocks"))
+    later = F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda x: x > F.col("o")), lambda x: F.transform("own", lambda b: F.struct((F.col("o") * 4 + x).alias("low"), b.alias("high"), F.lit(0).alias("part"))))
+    earlier = F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda x: x < F.col("o")), lambda x: F.transform(F.get("blocks", x), lambda b: F.struct((x * 4 + F.col("o")).alias("low"), b.alias("high"), F.lit(1).alias("part"))))
+    sent = dealt.select("series_id", F.explode(F.flatten(F.concat(later, earlier))).alias("to"), "id", "meeting_id", "o", "terms").select("series_id", "to.*", "id", "meeting_id", "o", "terms")
+    by = ["series_id", "low", "high"]
+    ordered = sent.repartition(shuffle_width(base.sparkSession), *by).sortWithinPartitions(*by, "part", "id")
+    return ordered.mapInArrow(lambda batches: (out for group in _groups(batches) for out in found(group)), schema)
+
+
 def _by_blocks(items: DataFrame, found: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """found over the items of every pair of blocks of a series; a series of up to BLOCK items is one block.
 
@@ -219,6 +251,89 @@ def numbered(pairs: DataFrame, infix: str = "p") -> DataFrame:
     return pairs.withColumn("pair_id", F.format_string(f"%s.{infix}%03d", "series_id", F.row_number().over(order)))
 
 
+def pair_number(n: Column, infix: str = "p") -> Column:
+    return F.concat("series_id", F.lit(f".{infix}"), F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string")))
+
+
+def numbered_candidates(items: DataFrame, threshold: float = THRESHOLD, least_shared: int = LEAST_SHARED) -> DataFrame:
+    """(pair_id, series_id, earlier, later, shared, score): scored_candidates, numbered like numbered without a window over pairs.
+
+    A series of up to BLOCK items is numbered in its task. For a larger one the pairs of each block of earlier items are
+    counted by score first; a pair's number is what comes before its block and score, and its place there. The pairs are
+    worked out twice and never shuffled. A task holds a block of earlier items and all later ones of a meeting.
+    """
+    least_shared = max(least_shared, 1)
+    kind = {c: items.schema[c].dataType.simpleString() for c in ("series_id", "id", "meeting_id")}
+    base = stored(comparable(items))
+    large = F.broadcast(base.groupBy("series_id").count().where(F.col("count") > BLOCK).select("series_id"))
+
+    def ranks(group: pa.RecordBatch, name: str) -> np.ndarray:
+        return pc.rank(group.column(name), sort_keys="ascending", tiebreaker="dense").to_numpy(zero_copy_only=False)
+
+    def listed(group: pa.RecordBatch, a: np.ndarray, b: np.ndarray, shared: np.ndarray, score: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        pick = lambda c, x: group.column(c).take(pa.array(x))
+        columns = [pick("series_id", a), pick("id", a), pick("id", b), pick("meeting_id", a), pick("meeting_id", b), pa.array(shared.astype(np.int32)), pa.array(score), pa.array(group.column("high")[0].as_py() + np.zeros(len(a), np.int32)), pa.array(n.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, names=["series_id", "earlier", "later", "earlier_meeting", "later_meeting", "shared", "score", "block", "n"])
+
+    def tiles(group: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        size = pc.list_value_length(group.column("terms")).to_numpy(zero_copy_only=False).astype(np.int64)
+        for rows, columns, shared, kept in _accepted(group, threshold, least_shared):
+            at, other = np.nonzero(kept)
+            a, b, common = rows[at], columns[other], shared[kept].astype(np.int64)
+            yield a, b, common, common / np.minimum(size[a], size[b])
+
+    def whole(group: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        parts = list(tiles(group))
+        if parts:
+            a, b, shared, score = (np.concatenate(x) for x in zip(*parts))
+            meeting, name = ranks(group, "meeting_id"), ranks(group, "id")
+            order = np.lexsort((name[b], name[a], -score, meeting[b], meeting[a]))
+            for at in range(0, len(order), TILE):
+                own = order[at : at + TILE]
+                yield listed(group, a[own], b[own], shared[own], score[own], np.arange(at + 1, at + 1 + len(own)))
+
+    def split(group: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple[np.ndarray, ...]]]]:
+        """By pair of meetings, of which a letter has more than one only in odd tables; all in order of earlier and later id."""
+        part, meeting = group.column("part").to_numpy(), group.column("meeting_id").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        same = pa.array(np.zeros(group.num_rows, np.int32))
+        for first in np.unique(meeting[part == 0]):
+            for second in np.unique(meeting[part == 1]):
+                own = group.take(pa.array(np.flatnonzero(((part == 0) & (meeting == first)) | ((part == 1) & (meeting == second)))))
+                yield own.set_column(own.schema.get_field_index("part"), "part", same.slice(0, own.num_rows))
+
+    def counted(group: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for own in split(group):
+            total: dict[float, int] = {}
+            for _, _, _, score in tiles(own):
+                for s, n in zip(*(x.tolist() for x in np.unique(score, return_counts=True))):
+                    total[s] = total.get(s, 0) + n
+            ends = [pa.array([k] * len(total), pa.int64()) for k in (0, own.num_rows - 1)]
+            columns = [own.column("series_id").take(ends[0]), own.column("meeting_id").take(ends[0]), own.column("meeting_id").take(ends[1]), own.column("high").take(ends[0]), pa.array(list(total), pa.float64()), pa.array(list(total.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["series_id", "earlier_meeting", "later_meeting", "block", "score", "n"])
+
+    def placed(group: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for own in split(group):
+            seen: dict[float, int] = {}
+            for a, b, shared, score in tiles(own):
+                order = np.argsort(-score, kind="stable")
+                values, first, n = np.unique(-score[order], return_index=True, return_counts=True)
+                before = np.array([seen.get(v, 0) for v in values.tolist()], np.int64)
+                seen |= dict(zip(values.tolist(), (before + n).tolist()))
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(1, len(order) + 1) + np.repeat(before - first, n)
+                yield listed(own, a, b, shared, score, place)
+
+    schema = f"series_id {kind['series_id']}, earlier {kind['id']}, later {kind['id']}, earlier_meeting {kind['meeting_id']}, later_meeting {kind['meeting_id']}, shared int, score double, block int, n long"
+    of_large = base.join(large, "series_id", "left_semi")
+    counts = by_meetings(of_large, counted, f"series_id {kind['series_id']}, earlier_meeting {kind['meeting_id']}, later_meeting {kind['meeting_id']}, block int, score double, n long", BLOCK)
+    order = W.partitionBy("series_id").orderBy("earlier_meeting", "later_meeting", F.desc("score"), "block")
+    by = ["series_id", "earlier_meeting", "later_meeting", "block", "score"]
+    starts = F.broadcast(stored(counts).withColumn("start", F.sum("n").over(order) - F.col("n")).drop("n"))
+    pairs = by_meetings(of_large, placed, schema, BLOCK).join(starts, by).withColumn("n", F.col("n") + F.col("start")).drop("start")
+    pairs = pairs.unionByName(_by_blocks(base.join(large, "series_id", "left_anti"), whole, schema))
+    return pairs.select(pair_number(F.col("n")).alias("pair_id"), "series_id", "earlier", "later", "shared", "score")
+
+
 def rejected_population(items: DataFrame, candidates: DataFrame) -> DataFrame:
     """(series_id, universe, candidates, rejected): the complement's size by arithmetic from candidate_counts."""
     kept = candidates.groupBy("series_id").agg(F.sum("n").alias("candidates"))

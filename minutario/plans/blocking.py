@@ -46,7 +46,7 @@ def j01(spark: SparkSession, folder: str) -> DataFrame:
     select *, row_number() over (partition by series_id order by earlier_meeting, later_meeting, score desc, earlier, later) as n from scored where score >= 0.3 and shared >= 2)""",
 )
 def j03(spark: SparkSession, folder: str) -> DataFrame:
-    kept = P.numbered(P.scored_candidates(items(spark, folder)))
+    kept = P.numbered_candidates(items(spark, folder))
     return kept.select("pair_id", "series_id", "earlier", "later", F.col("shared").cast("long").alias("shared"), rounded("score").alias("score"))
 
 

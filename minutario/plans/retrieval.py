@@ -124,15 +124,18 @@ def j11(spark: SparkSession, folder: str) -> DataFrame:
     return near.select("event_id", "nearest", "gap")
 
 
-def halves(spark: SparkSession, folder: str) -> DataFrame:
-    """Scored pairs as predictions (earlier decision) against references (later decision), by pair of meetings."""
-    return P.scored_candidates(items(spark, folder)).select(F.concat_ws("-", "earlier_meeting", "later_meeting").alias("meetings"), F.col("earlier").alias("predicted"), F.col("later").alias("reference"), "score")
+TAUS = (0.4, 0.5, 0.6)
 
 
 @query("m11_alignment")
 def m11(spark: SparkSession, folder: str) -> DataFrame:
-    m = alignment.align_groups(halves(spark, folder), "meetings", "predicted", "reference", "score", [0.4, 0.5, 0.6])
-    return m.withColumn("similarity", rounded("similarity"))
+    """Scored pairs as predictions (earlier decision) against references (later decision), matched by pair of meetings."""
+    return alignment.align_candidates(items(spark, folder), TAUS).withColumn("similarity", rounded("similarity"))
+
+
+def halves(spark: SparkSession, folder: str) -> DataFrame:
+    """Scored pairs as predictions (earlier decision) against references (later decision), by pair of meetings."""
+    return P.scored_candidates(items(spark, folder)).select(F.concat_ws("-", "earlier_meeting", "later_meeting").alias("meetings"), F.col("earlier").alias("predicted"), F.col("later").alias("reference"), "score")
 
 
 @query("m17_pooled_scores")

@@ -9,6 +9,7 @@ from minutario.functions.text import decision_terms
 from minutario.operators import pairs as P
 from minutario.plans.common import CANDIDATES, DECISIONS, candidates, decisions, rounded, terms_sql
 from minutario.plans.registry import query
+from minutario.session import stored
 
 
 def items(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,7 +65,7 @@ def j04(spark: SparkSession, folder: str) -> DataFrame:
     f"with {SCORED} select earlier, later, least(na, nb)::bigint as smaller, greatest(na, nb)::bigint as larger, shared::bigint as shared, round(score, 6) as score, round(shared / (na + nb - shared), 6) as jaccard, score >= 0.5 as strict from scored where score >= 0.3 and shared >= 2",
 )
 def j05(spark: SparkSession, folder: str) -> DataFrame:
-    s = P.scored_candidates(items(spark, folder))
+    s = P.scored_candidates(stored(items(spark, folder)))  # the items are read twice; shuffle files of the decisions are gone by then
     long = lambda c: c.cast("long")
     return s.select("earlier", "later", long(F.least("na", "nb")).alias("smaller"), long(F.greatest("na", "nb")).alias("larger"), long(F.col("shared")).alias("shared"), rounded("score").alias("score"), rounded(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"), (F.col("score") >= 0.5).alias("strict"))
 

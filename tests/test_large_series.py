@@ -64,3 +64,10 @@ def test_alignment_of_candidates_equals_that_of_their_pairs(decided):
     scores = {(r.earlier, r.later): r.score for r in pairs.scored_candidates(decided).collect()}
     assert all(scores[r.predicted, r.reference] == r.similarity >= r.tau for r in got.collect())
     assert alignment.align_candidates(decided.where("false"), [0.4]).count() == 0
+
+
+def test_the_features_of_pairs_read_items_that_are_put_by(spark, folder):
+    """Before, the shuffle files of the whole decisions lay beside those of the blocks, and the decisions were read twice."""
+    from minutario.plans.registry import queries
+
+    assert "decision_content" not in queries()["j05_pair_features"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
